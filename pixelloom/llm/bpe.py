@@ -76,8 +76,7 @@ class Bpe:
         self.length = {i: len(s) for s, i in self.words.items()}
         self.table = str.maketrans({b: c for b, c in enumerate(byte_characters())})
         self.prefixes: dict[str, int] = {}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.seen = Seen(self, {})
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of left's and right's text, joined, is left and right."""
@@ -234,16 +233,6 @@ class Bpe:
             out.extend(self.word(pre_token))
         return out.tobytes()
 
-    def _missed(self, s: str) -> bytes:
-        ids = self.old.get(s)
-        if ids is None:
-            ids = self.chunk(s)
-        if len(s) <= 64:
-            if len(self.new) >= CACHE_WORDS:
-                self.old, self.new = self.new, {}
-            self.new[s] = ids
-        return ids
-
     def pieces(self, text: str) -> list[bytes]:
         """The ids of each stretch of text between white space, in order."""
         if "<|" in text and self.special.search(text):
@@ -256,11 +245,9 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         words = [w for w in SPACES.split(text) if w] if ODD_SPACE.search(text) else text.split()
-        get, missed = self.new.get, self._missed
-        out = list(map(get, words))
-        if None in out:
-            out = [x if x is not None else missed(w) for x, w in zip(out, words)]
-        return out
+        if len(self.seen) > CACHE_WORDS:
+            self.seen = Seen(self, dict(self.seen))
+        return list(map(self.seen.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers; null as empty."""
@@ -271,6 +258,22 @@ class Bpe:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Seen(dict):
+    """Ids of the stretches of text seen lately: this generation and the one before."""
+
+    def __init__(self, bpe: Bpe, old: dict[str, bytes]):
+        super().__init__()
+        self.bpe, self.old = bpe, old
+
+    def __missing__(self, s: str) -> bytes:
+        ids = self.old.get(s)
+        if ids is None:
+            ids = self.bpe.chunk(s)
+        if len(s) <= 64:
+            self[s] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> Bpe:
     """One model for each worker process and file."""
