@@ -28,7 +28,7 @@ PLAN_SCHEMA = "length int, rank_from long, rank_to long, bin_from long, per long
 def pieces(docs: DataFrame, path: str, tokens: int, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of at most tokens ids: key, piece, start, length, ids_crc32. A document's ids are those of its text, then end_id; null text: end_id."""
     small_batches(docs.sparkSession)
-    schema = docs.select(key).schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end, step = model(path), end_id.to_bytes(4, "little"), 4 * tokens

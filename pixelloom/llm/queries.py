@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, exact_dedup, url_filter
+from pixelloom.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, sharding, token_counts, topk, url_filter
 
 #: (entry, action) of op3; fixed by its contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -68,9 +68,95 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY h)
 """
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.groups(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path(), tokens=4096)
+
+
+def held_out(modulus: int, rest: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == rest
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~held_out(4, 2)))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
+#: Bytes of a shard in op6.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, SHARD_BYTES)
+
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+levels AS (SELECT doc_id, n_bytes, h, unnest(range(0, 41))::INT AS depth FROM d),
+sums AS (SELECT *, h >> (60 - depth) AS prefix, sum(n_bytes) OVER w AS b, count(*) OVER w AS n FROM levels WINDOW w AS (PARTITION BY depth, h >> (60 - depth))),
+least AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM sums WHERE b <= {SHARD_BYTES} OR n = 1)
+SELECT doc_id, n_bytes, depth, CASE depth WHEN 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, b::BIGINT AS shard_bytes, b <= {SHARD_BYTES} AS fits
+FROM least WHERE k = 1
+"""
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.where(~held_out(5, 0)).join(labels, "doc_id"))
+    found = quality.score(docs, model)
+    return found.select(
+        "doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= quality.CUT, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document: its first word goes, a remark comes in at the middle, a line is added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    first = F.length(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\S*", 0))
+    edit = lambda at, remove, insert: F.struct(at.cast("int").alias("at"), remove.cast("int").alias("remove"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(F.lit(0), first, ""), edit(F.floor(n / 2), F.lit(0), "[see note]"), edit(n, F.lit(0), "\nEnd of text."))
+    return token_counts.count(docs.withColumn("edits", edits), tokenizer_path(), edits="edits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
+    "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
+    "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_top_k": op9_top_k,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_sharding": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_top_k": OP9_SQL}
