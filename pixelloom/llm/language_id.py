@@ -18,8 +18,9 @@ from pixelloom.llm.common import small_batches
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 16, (2, 3, 4)
 #: Training: labelled documents for each language at most, about; longest of them in characters; epochs; words of the short pieces.
 SAMPLE, LONGEST, EPOCHS, PIECE = 1000, 100_000, 4, (3, 30)
-#: A text is rejected if its probability is below the level that this share of held-back, rightly labelled training texts exceeds.
-KEEP_SHARE = 0.9995
+#: A text is rejected if its best probability is below the level that this share of the held-back, rightly recognised training texts exceeds.
+#: The level is never above MOST_LEAST: a text with a language that is so likely is kept.
+KEEP_SHARE, MOST_LEAST = 0.9995, 0.4
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 19
 
@@ -145,8 +146,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
         heat = min((float(h) for h in np.geomspace(0.05, 20, 61)), key=loss)
         q = np.exp(z / heat - (z / heat).max(1, keepdims=True))
-        top = (q / q.sum(1, keepdims=True))[np.arange(len(y)), y]
-        least = float(min(0.5, np.quantile(top, 1 - KEEP_SHARE)))
+        top = (q / q.sum(1, keepdims=True)).max(1)[z.argmax(1) == y]
+        least = float(min(MOST_LEAST, np.quantile(top, 1 - KEEP_SHARE))) if len(top) else MOST_LEAST
     return Model(languages, table, bias, heat, least)
 
 
