@@ -212,12 +212,24 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Sets are made anew, for the documents in pairs only."""
+def of_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in pairs (a, b); broadcast if the ids are few."""
     ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
+
+
+def matched(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many shingles as the smaller m of the two."""
+    prefixes = store(of_pairs(pairs, known).select("doc_id", "m", "tokens"), "candidate-prefixes")
+    x, y = (prefixes.select(F.col("doc_id").alias(i), F.col("m").alias(f"m_{i}"), F.col("tokens").alias(f"tokens_{i}")) for i in "ab")
+    enough = F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("m_a", "m_b")
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b").distinct()
 
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Sets are made anew, for the documents in pairs only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -235,7 +247,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = store(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary"), "candidate-sets")
+    sets = store(of_pairs(pairs, docs).select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary"), "candidate-sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return store(met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "links")
 
@@ -254,8 +266,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     some = known.where("n > 0 and doc_id is not null")
     classes = store(some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = some.join(classes, ["n", "sig"]).where("doc_id = class_id").dropDuplicates(["doc_id", "n", "sig"])
-    index = heads.select("doc_id", "n", "m", F.posexplode("tokens").alias("pos", "token"))
-    index = index.repartition("token")  # one shuffle serves the aggregate and the join
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
+    index = heads.select("doc_id", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("before"))).alias("pos", "t"))
+    index = index.select("doc_id", "n", "pos", "t.*").repartition("token")  # one shuffle serves the aggregate and the join
     shared = index.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("pos", "doc_id", "n")).alias("top")).where("docs > 1")
     index = store(index.join(shared, "token"), "index")
 
@@ -269,12 +282,13 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     place = store(place, "placed")
     mixed = place.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
     place = store(place.join(mixed, "token", "left_semi"), "mixed")
+    # Of a pair's shared shingles only the first is wanted; where those before are the same, there was an earlier one.
     x, y = place.alias("x"), place.alias("y")
-    m = F.least("x.m", "y.m")
-    near = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) + m - 1 >= _need(F.col("x.n"), F.col("y.n"), percent)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & near)
-    second = met.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("k"), F.max(m).alias("m")).where("k >= m").select("a", "b")
-    second = store(second.join(first, ["a", "b"], "left_anti"), "pairs-2")
+    near = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= _need(F.col("x.n"), F.col("y.n"), percent)
+    begins = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & begins & near)
+    second = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = store(matched(store(second, "met"), some), "pairs-2")
     if not second.isEmpty():
         more = verified(second, docs, words, percent)
         if not more.isEmpty():
