@@ -14,6 +14,9 @@ from pixelloom.codecs import amiga, atari, commodore, icons, pc, png, web
 from pixelloom.model import SURFACE, DecodeError, Options, Surface
 from pixelloom.plans.detect import CODECS, codecs, detect
 
+#: Files to a batch of input, and bytes of pixels after which a batch of output ends.
+BATCH_FILES, OUT_BYTES = 256, 16 << 20
+
 Decoder = Callable[[bytes, Options], Surface]
 DECODERS: dict[str, Decoder] = {
     "pcx": pc.pcx, "png": png.png, "lbm": amiga.lbm, "jpeg": web.jpeg, "tga": web.tga, "gif": web.gif, "bmp": pc.bmp, "sunrast": pc.sunrast,
@@ -102,15 +105,19 @@ def decode(files: DataFrame, codec: str | None = None, options: Options = Option
     schema = files.select(*keep).schema
     for f in SURFACE.fields:
         schema = schema.add(f)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(SURFACE)
         for batch in batches:
             names, contents = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1)
+            start, rows, size = 0, [], 0
             for i in range(batch.num_rows):
-                row = _row(names[i], contents[i].as_py(), options, registry)
-                made = pa.RecordBatch.from_pylist([row], schema=arrow)
-                yield pa.RecordBatch.from_arrays([batch.column(j).slice(i, 1) for j in range(len(keep))] + made.columns, names=[*keep, *SURFACE.names])
+                rows.append(_row(names[i], contents[i].as_py(), options, registry))
+                size += len(rows[-1].get("pixels") or b"")
+                if size > OUT_BYTES or i + 1 == batch.num_rows:
+                    made = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    yield pa.RecordBatch.from_arrays([batch.column(j).slice(start, len(rows)) for j in range(len(keep))] + made.columns, names=[*keep, *SURFACE.names])
+                    start, rows, size = i + 1, [], 0
 
     return typed.select(*keep, "__codec", content).mapInArrow(run, schema)

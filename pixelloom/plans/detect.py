@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.functions.columns import C, byte_at, col, number_at
+from pixelloom.functions.columns import C, byte_at, bytes_of, col, number_at
 
 #: Fixed: codecs in the order in which they are tried, with the usual file extensions (which play no part in detection).
 CODECS: list[tuple[str, str]] = [
@@ -24,17 +24,14 @@ def _is(content: Column, at: int, mark: bytes) -> Column:
 
 def escaped_size(content: Column, escape: int = 0xFE) -> Column:
     """Bytes that escape, value, count codes from place 2 on expand to; -1 if the input ends within one. A fold: only for short inputs."""
-    hexed = F.hex(content)
-    byte = lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
     start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("n"))
 
-    def step(s: Column, i: Column) -> Column:
-        b = byte(i)
+    def step(s: Column, b: Column) -> Column:
         state = F.when((s["state"] == 0) & (b == escape), 1).when(s["state"] == 1, 2).otherwise(0)
         n = s["n"] + F.when((s["state"] == 0) & (b != escape), 1).when(s["state"] == 2, b).otherwise(0)
         return F.struct(state.alias("state"), n.alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(2), F.octet_length(content) - 1), start, step, lambda s: F.when(s["state"] == 0, s["n"]).otherwise(-1))
+    return F.aggregate(F.slice(bytes_of(content), 3, 1 << 20), start, step, lambda s: F.when(s["state"] == 0, s["n"]).otherwise(-1))
 
 
 def predicates(content: C = "content", length: C | None = None) -> dict[str, Column]:
