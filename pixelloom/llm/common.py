@@ -42,12 +42,15 @@ def lower_ascii(c):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) for each node, component being the least node reachable.
 
-    Alternates large-star and small-star steps until nothing changes, in O(log n) rounds or so; each round is one or two shuffles on the
-    edges and is stored, so that lineage stays short. No edges: no rows. Self-loops and repeated edges do no harm; null ends are ignored.
+    Alternates large-star and small-star steps until the edges are stars, in O(log n) rounds or so; each round is some shuffles on the edges
+    and is stored, so that lineage stays short. No edges: no rows. Self-loops and repeated edges do no harm; null ends are ignored.
     """
     e = store(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
-    last = None
     while True:
+        inner = e.select(F.col("u").alias("v"), F.lit(1).alias("inner")).distinct()
+        n, nodes, chained = e.join(inner, "v", "left").agg(F.count("*"), F.countDistinct("u"), F.count("inner")).first()
+        if n == nodes and chained == 0:  # each node has one neighbour, which has none smaller
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each node's larger neighbours move to its least neighbour (or itself).
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -55,11 +58,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = store(large.where("u <> v").distinct(), f"{name}-large")
         # Small star: each node and its smaller neighbours move to the least of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.*")
-        e = store(small.where("u <> v").distinct(), f"{name}-small")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("d")).first()
-        if now["n"] == now["d"] and now == last or now["n"] == 0:
-            break
-        last = now
+        moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        e = store(large.join(least, "u").select(moved.alias("s")).select("s.*").where("u <> v").distinct(), f"{name}-small")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
