@@ -32,8 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score isn't below the threshold; learnt from a bounded sample of the documents that labels covers."""
     small_batches(spark)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null").dropDuplicates(["doc_id"])
-    model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _kept(docs, quality.score(docs.withColumn("__text", F.col("text")), model, text="__text"))
 
 

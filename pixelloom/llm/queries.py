@@ -112,7 +112,7 @@ FROM least WHERE k = 1
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.where(~held_out(5, 0)).join(labels, "doc_id"))
+    model = quality.train(docs, labels.where(~held_out(5, 0)))
     found = quality.score(docs, model)
     return found.select(
         "doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
