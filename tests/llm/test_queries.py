@@ -1,0 +1,51 @@
+"""The queries with SQL against DuckDB, and the pipeline stage by stage."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from pixelloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", ["op5_language_id", "op7_quality"])
+def test_held_out(spark, name):
+    rows = QUERIES[name](spark, SF).where("held_out")
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    if name == "op5_language_id":
+        right = rows.join(docs.select("doc_id", "lang"), "doc_id").selectExpr("avg(int(lang = lang_pred))").first()[0]
+    else:
+        right = rows.join(labels, "doc_id").selectExpr("avg(int(quality = predicted))").first()[0]
+    assert right > 0.9
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == columns and docs.count() <= n and docs.exceptAll(before).count() == 0
+            n = docs.count()
+        if name == "exact_dedup":
+            assert docs.selectExpr("count(distinct lower(text))", "count(*)").first()[0] == n
+    assert docs.select("doc_id").distinct().count() == n
