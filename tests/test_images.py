@@ -120,3 +120,18 @@ def test_jpeg(spark, size):
     want = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(w)] for y in range(h)])
     want = np.stack([want >> 16, want >> 8 & 255, want & 255], 2)
     assert np.abs(got[:, :, :3] - want).mean() < 6
+
+
+def test_walks(spark):
+    from pixelloom.operators import walks
+
+    walks.use(spark)
+    form = b"ILBM" + b"BMHD" + struct.pack(">I", 3) + b"abc\0" + b"BODY" + struct.pack(">I", 2) + b"xy"
+    files = spark.createDataFrame([(1, bytearray(b"FORM" + struct.pack(">I", len(form)) + form)), (2, None)], "id int, content binary")
+    files.createOrReplaceTempView("forms")
+    rows = spark.sql("SELECT id, c.* FROM forms, LATERAL iff_chunks(content) c ORDER BY offset").collect()
+    assert [tuple(r) for r in rows] == [(1, "ILBM", "BMHD", 20, 3), (1, "ILBM", "BODY", 32, 2)]
+    rows = spark.sql("SELECT * FROM byte_runs(unhex('FE410142438044'))").collect()
+    assert [tuple(r) for r in rows][:3] == [(0, 65, 3), (1, 66, 1), (2, 67, 1)]
+    assert bytes(spark.sql("SELECT content FROM decompress('packbits', unhex('FE41014243'), 5)").first()[0]) == b"AAABC"
+    assert spark.sql("SELECT error FROM decompress('packbits', unhex('FE'), 5)").first()[0] == "truncated_data"
