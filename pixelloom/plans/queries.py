@@ -207,7 +207,7 @@ KEYS = ("doc_id", "tile")
 
 def _raster(name: str, w: int, h: int, size: int, index, sql_index: str) -> None:
     sql = f"WITH {sql_tiles(size)}, {sql_grid(w, h)} " + sql_summed(f"SELECT doc_id, tile, y, x, ({sql_index})::INT AS idx FROM b, g", ["idx"])
-    query(name, sql)(lambda s, d: summed(raw.pixels(tiles(s, d, size), index, w, h, size, keep=KEYS), ["idx"]))
+    query(name, sql)(lambda s, d: summed(raw.pixels(tiles(s, d, size), index(), w, h, size, keep=KEYS), ["idx"]))
 
 
 def _sql_planes(n: int, place: str, order=None) -> str:
@@ -215,22 +215,22 @@ def _sql_planes(n: int, place: str, order=None) -> str:
     return " | ".join(f"((a[({place.format(p=i)}) + 1] >> (7 - x % 8) & 1) << {(order or range(8))[i]})" for i in range(n))
 
 
-_raster("raw_ega_graphic_planar", 16, 8, 64, raw.ega_index("a", "x", "y", 16, 8, 4, "graphic_planar"), _sql_planes(4, "{p} * 16 + y * 2 + x // 8"))
-_raster("raw_ega_row_planar", 16, 8, 64, raw.ega_index("a", "x", "y", 16, 8, 4, "row_planar"), _sql_planes(4, "y * 8 + {p} * 2 + x // 8"))
-_raster("raw_ega_byte_planar", 16, 8, 64, raw.ega_index("a", "x", "y", 16, 8, 4, "byte_planar"), _sql_planes(4, "(y * 2 + x // 8) * 4 + {p}"))
-_raster("raw_ega_rgbi_order", 16, 8, 64, raw.ega_index("a", "x", "y", 16, 8, 4, "row_planar", "rgbi"), _sql_planes(4, "y * 8 + {p} * 2 + x // 8", (2, 1, 0, 3)))
-_raster("raw_ega_linear", 15, 8, 64, raw.ega_index("a", "x", "y", 15, 8, 4, "linear"), "a[y * 8 + x // 2 + 1] >> (4 - x % 2 * 4) & 15")
-_raster("raw_modex_graphic_planar", 10, 6, 72, raw.modex_index("a", "x", "y", 10, 6, "graphic_planar"), "a[x % 4 * 18 + y * 3 + x // 4 + 1]")
-_raster("raw_modex_row_planar", 10, 6, 72, raw.modex_index("a", "x", "y", 10, 6, "row_planar"), "a[y * 12 + x % 4 * 3 + x // 4 + 1]")
-_raster("raw_modex_byte_planar", 10, 6, 72, raw.modex_index("a", "x", "y", 10, 6, "byte_planar"), "a[y * 12 + x // 4 * 4 + x % 4 + 1]")
-_raster("raw_modex_linear", 10, 6, 60, raw.modex_index("a", "x", "y", 10, 6, "linear"), "a[y * 10 + x + 1]")
+_raster("raw_ega_graphic_planar", 16, 8, 64, lambda: raw.ega_index("a", "x", "y", 16, 8, 4, "graphic_planar"), _sql_planes(4, "{p} * 16 + y * 2 + x // 8"))
+_raster("raw_ega_row_planar", 16, 8, 64, lambda: raw.ega_index("a", "x", "y", 16, 8, 4, "row_planar"), _sql_planes(4, "y * 8 + {p} * 2 + x // 8"))
+_raster("raw_ega_byte_planar", 16, 8, 64, lambda: raw.ega_index("a", "x", "y", 16, 8, 4, "byte_planar"), _sql_planes(4, "(y * 2 + x // 8) * 4 + {p}"))
+_raster("raw_ega_rgbi_order", 16, 8, 64, lambda: raw.ega_index("a", "x", "y", 16, 8, 4, "row_planar", "rgbi"), _sql_planes(4, "y * 8 + {p} * 2 + x // 8", (2, 1, 0, 3)))
+_raster("raw_ega_linear", 15, 8, 64, lambda: raw.ega_index("a", "x", "y", 15, 8, 4, "linear"), "a[y * 8 + x // 2 + 1] >> (4 - x % 2 * 4) & 15")
+_raster("raw_modex_graphic_planar", 10, 6, 72, lambda: raw.modex_index("a", "x", "y", 10, 6, "graphic_planar"), "a[x % 4 * 18 + y * 3 + x // 4 + 1]")
+_raster("raw_modex_row_planar", 10, 6, 72, lambda: raw.modex_index("a", "x", "y", 10, 6, "row_planar"), "a[y * 12 + x % 4 * 3 + x // 4 + 1]")
+_raster("raw_modex_byte_planar", 10, 6, 72, lambda: raw.modex_index("a", "x", "y", 10, 6, "byte_planar"), "a[y * 12 + x // 4 * 4 + x % 4 + 1]")
+_raster("raw_modex_linear", 10, 6, 60, lambda: raw.modex_index("a", "x", "y", 10, 6, "linear"), "a[y * 10 + x + 1]")
 for _mode, _planes in (("low", 4), ("med", 2), ("high", 1)):
-    _raster(f"st_bitplanes_{_mode}", 32, 4, 16 * _planes, raw.st_index("a", "x", "y", 32, _planes), _sql_planes(_planes, f"y * {4 * _planes} + x // 16 * {2 * _planes} + {{p}} * 2 + x % 16 // 8"))
-_raster("st_separate_planes", 16, 8, 64, raw.separate_index("a", "x", "y", 2, 16), _sql_planes(4, "y * 2 + x // 8 + {p} * 16"))
-_raster("spectrum_pixel", 16, 8, 64, raw.spectrum_index("a", F.col("y") * 16 + F.col("x")), _sql_planes(4, "(y * 2 + x // 8) // 2 * 8 + (y * 2 + x // 8) % 2 + {p} * 2"))
+    _raster(f"st_bitplanes_{_mode}", 32, 4, 16 * _planes, lambda n=_planes: raw.st_index("a", "x", "y", 32, n), _sql_planes(_planes, f"y * {4 * _planes} + x // 16 * {2 * _planes} + {{p}} * 2 + x % 16 // 8"))
+_raster("st_separate_planes", 16, 8, 64, lambda: raw.separate_index("a", "x", "y", 2, 16), _sql_planes(4, "y * 2 + x // 8 + {p} * 16"))
+_raster("spectrum_pixel", 16, 8, 64, lambda: raw.spectrum_index("a", F.col("y") * 16 + F.col("x")), _sql_planes(4, "(y * 2 + x // 8) // 2 * 8 + (y * 2 + x // 8) % 2 + {p} * 2"))
 for _bpp in (1, 2, 4, 8):
     _per = 8 // _bpp
-    _raster(f"packed_{_bpp}", 64 * _per, 1, 64, raw.packed_index("a", "x", _bpp), f"a[x // {_per} + 1] >> (({_per - 1} - x % {_per}) * {_bpp}) & {(1 << _bpp) - 1}")
+    _raster(f"packed_{_bpp}", 64 * _per, 1, 64, lambda n=_bpp: raw.packed_index("a", "x", n), f"a[x // {_per} + 1] >> (({_per - 1} - x % {_per}) * {_bpp}) & {(1 << _bpp) - 1}")
 
 
 @query("planes_merge_by_group", f"WITH {sql_tiles(64)}, {sql_grid(16, 8)} " + sql_summed(f"SELECT doc_id, tile, y, x, ({_sql_planes(4, 'y * 8 + {p} * 2 + x // 8')})::INT AS idx FROM b, g", ["idx"]))
