@@ -42,8 +42,10 @@ def tiles(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 def sql_tiles(n: int) -> str:
     """The same for DuckDB: common table b (doc_id, tile, a: list of byte values)."""
-    return f"""b AS (SELECT doc_id, tile::INT AS tile, list_transform(range(0, {n}), lambda i: ('0x' || substr(rpad(substr(h, tile * {2 * n} + 1, {2 * n}), {2 * n}, '0'), (2 * i + 1)::BIGINT, 2))::INT) AS a
-      FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + {n - 1}) // {n})) AS tile FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0)))"""
+    return f"""hexed AS MATERIALIZED (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0),
+      cut AS MATERIALIZED (SELECT doc_id, tile::INT AS tile, rpad(array_slice(h, tile * {2 * n} + 1, tile * {2 * n} + {2 * n}), {2 * n}, '0') AS t
+        FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + {n - 1}) // {n})) AS tile FROM hexed)),
+      b AS MATERIALIZED (SELECT doc_id, tile, list_transform(range(0, {n}), lambda i: ('0x' || t[2 * i + 1 : 2 * i + 2])::INT) AS a FROM cut)"""
 
 
 def sql_grid(w: int, h: int) -> str:
