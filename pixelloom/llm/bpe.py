@@ -28,11 +28,11 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
 #: Characters of an output batch, and words in a cache generation (two generations are held).
-OUT_CHARS, CACHE_WORDS = 4 << 20, 700_000
+OUT_CHARS, CACHE_WORDS = 4 << 20, 400_000
 MARK = "\n"  # stands for the word end; never a byte's character
 NONE = -1
 #: Characters of a short word, and how many prefixes of short words are kept.
-SHORT, PREFIXES = 48, 700_000
+SHORT, PREFIXES = 48, 250_000
 
 
 def byte_characters() -> list[str]:
@@ -221,7 +221,7 @@ class Bpe:
         return answer
 
     def _fit(self, pair: int, before: int, token: int) -> bool:
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         ok = self.fits[pair] = self.compatible(before, token)
         return ok
