@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.bpe import slices
@@ -257,20 +257,23 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
 
     Two documents link when 100 * intersection >= percent * union of their sets of shingles (see shingle_sets). A document without words (null
     text too) has an empty set, links with nothing and is its own class and component. Rows with null doc_id take no part: null class and
-    component. Repeated rows are one document; rows with equal doc_id but different texts are each placed by their own text. Other columns play
-    no part; empty tables give no rows.
+    component. Repeated rows are one document; doc_id is a key: of rows with equal doc_id but different texts each has its own class, but links
+    only of one of them are sure to be found. Other columns play no part; empty tables give no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = store(describe(docs, words, percent), "prefixes")
     some = known.where("n > 0 and doc_id is not null")
     classes = store(some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = some.join(classes, ["n", "sig"]).where("doc_id = class_id").dropDuplicates(["doc_id", "n", "sig"])
-    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("tokens", 1, F.size("tokens") - 1))
-    index = heads.select("doc_id", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("before"))).alias("pos", "t"))
-    index = index.select("doc_id", "n", "pos", "t.*").repartition("token")  # one shuffle serves the aggregate and the join
+    others = some.select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.col("sig").alias("__sig"))
+    others = store(others.distinct(), "class-members")
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    heads = some.join(others, F.expr("doc_id = __id and n = __n and sig = __sig"), "left_anti")
+    index = heads.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
+    index = index.repartition("token")  # one shuffle serves the aggregate and the join
     shared = index.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("pos", "doc_id", "n")).alias("top")).where("docs > 1")
-    index = store(index.join(shared, "token"), "index")
+    index = store(index.join(shared, "token"), "index")  # shingles of two documents or more
 
     near = F.least(F.col("n") - F.col("pos"), F.col("top.n") - F.col("top.pos")) >= _need(F.col("n"), F.col("top.n"), percent)
     first = index.where((F.col("doc_id") != F.col("top.doc_id")) & near)
@@ -279,7 +282,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
 
     part = store(components(links), "components-1")
     place = index.drop("top", "docs").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    place = store(place, "placed")
+    place = store(place.withColumn("before", F.lag("token").over(Window.partitionBy("doc_id", "n").orderBy("pos"))), "placed")
     mixed = place.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
     place = store(place.join(mixed, "token", "left_semi"), "mixed")
     # Of a pair's shared shingles only the first is wanted; where those before are the same, there was an earlier one.
