@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pixelloom.llm.common import small_batches
+from pixelloom.llm.common import holds, small_batches, turn_to
 
 #: Fixed by the vocabulary's file: the word-end mark, the pre-token pattern, and the strings taken as whole tokens.
 WORD_END = "</w>"
@@ -277,9 +277,13 @@ class Seen(dict):
 @lru_cache(maxsize=2)
 def model(path: str) -> Bpe:
     """One model for each worker process and file."""
+    turn_to("bpe")
     return Bpe(path)
 
 
+holds("bpe", model.cache_clear)
+
+
 def slices(texts: list[str | None], most: int = OUT_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of up to about most characters."""
     start = total = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 
 
+#: What each operator holds in a worker process from task to task, as functions that let go of it.
+_HELD: dict[str, list[Callable[[], None]]] = {}
+
+
+def holds(owner: str, release: Callable[[], None]) -> None:
+    _HELD.setdefault(owner, []).append(release)
+
+
+def turn_to(owner: str) -> None:
+    """Called at a task's start: worker processes are used again, so what other operators hold there is let go."""
+    for other, releases in _HELD.items():
+        if other != owner:
+            for release in releases:
+                release()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.bpe import slices
-from pixelloom.llm.common import components, small_batches, store
+from pixelloom.llm.common import components, holds, small_batches, store, turn_to
 
 #: Most entries in the table of frequent shingles, which every task gets (12 bytes each); shingles rarer than RARE are never in it.
 FREQUENT, RARE = 1 << 20, 8
@@ -50,6 +50,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+holds("jaccard", _powers.cache_clear)
+
+
 @lru_cache(maxsize=1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """A random number for each byte, and which bytes are white space (20, 09-0D)."""
@@ -122,6 +125,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     bits = min(16, max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -177,6 +181,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast((cells, dfs))  # FREQUENT entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
         cells, dfs = table.value
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.bpe import slices
-from pixelloom.llm.common import small_batches
+from pixelloom.llm.common import small_batches, turn_to
 
 #: Rows of the embedding table, its width, and the subword lengths in characters (a word's border counts as one).
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 16, (2, 3, 4)
@@ -178,6 +178,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = df.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("language_id")
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for a, b in slices(texts, BATCH_CHARS):
