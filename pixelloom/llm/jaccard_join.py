@@ -7,6 +7,9 @@ shingles a longer one, with more of them to be shared, leaves fewer candidates.
 Many near copies of one text would make a number of pairs that is the square of theirs. So there are two rounds: in the first, each shingle's
 documents meet only the one among them in whose order it comes first; what is linked then is one component. In the second only documents of
 different components meet. Every pair that could link two components is verified on whole sets, so the components are exact.
+
+Numbers of links need every pair. A link lies within a component, so there all pairs of different sets are met, block by block: those whose
+prefixes share as many shingles as the smaller m are verified on whole sets. What is kept is the number of links of each set, not the pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MOST_MATCHES, VERIFY = 4, 4.0
 #: Shingles that a task counts before it hands on their sum, and ids of candidates up to which they are broadcast.
 FLUSH, BROADCAST_IDS = 4 << 20, 2_000_000
 STRETCH = 1 << 20
+#: Sets, and shingles, to a block of a component (about; sets are dealt by hash), and shingles that a product of two blocks takes at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 4096
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x5851F42D4C957F2F
 
@@ -217,12 +222,15 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, which is stored, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def of_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in pairs (a, b); broadcast if the ids are few."""
     ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi")
+    return docs.join(few(ids), "doc_id", "left_semi")
 
 
 def matched(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -257,19 +265,118 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return store(met.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct(), "links")
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each of docs: doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable by links).
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each set of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    every = [np.concatenate(sets) for sets in (x, y)]
+    both = np.intersect1d(*every)
+    if not len(both):
+        return out
+    entries = []
+    for sets, values in zip((x, y), every):
+        column = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        some = both[column] == values
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[some], column[some]
+        order = np.argsort(column, kind="stable")
+        entries.append((len(sets), row[order], column[order]))
+    for c in range(0, len(both), COLUMNS):
+        width, sides = min(COLUMNS, len(both) - c), []
+        for n, row, column in entries:
+            a, b = np.searchsorted(column, [c, c + width])
+            side = np.zeros((n, width), np.float32)  # sums of a product are whole numbers up to COLUMNS, so exact
+            side[row[a:b], column[a:b] - c] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def block_links(x: list[tuple], y: list[tuple], percent: int) -> np.ndarray:
+    """Which of x link with which of y; entries (sig, size, m, prefix, set). A set doesn't link with itself."""
+    m = np.minimum.outer([e[2] for e in x], [e[2] for e in y])
+    met = shared_counts([e[3] for e in x], [e[3] for e in y]) >= m
+    if x is y:
+        np.fill_diagonal(met, False)
+    if met.any():
+        common = shared_counts([e[4] for e in x], [e[4] for e in y])
+        total = np.add.outer([len(e[4]) for e in x], [len(e[4]) for e in y])
+        met &= 100 * common >= percent * (total - common)
+    return met
+
+
+def link_counts(heads: DataFrame, part: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """n, sig, links: for the sets of part's nodes, how many documents have another set that links with theirs; no row for none.
+
+    heads has the documents (doc_id, n, sig, m, tokens) that stand for their sets, classes the number (size) of documents of each (n, sig).
+    A component's sets are dealt over blocks of bounded size and each two blocks meet in one group of rows, so that no task holds a component.
+    The work is the square of a component's number of different sets, as that of its links can be.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, STRETCH):
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
+                sig = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                columns = [pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["doc_id", "n", "sig", "shingles"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x, y = sides if at[1] != at[2] else (sides[0], sides[0])
+            if not x or not y:
+                return
+            links = block_links(x, y, percent)
+            some = [(x, links @ np.array([e[1] for e in y]))] + ([] if x is y else [(y, np.array([e[1] for e in x]) @ links)])
+            for entries, n in some:
+                columns = [pa.array([len(e[4]) for e in entries], pa.int32()), pa.array([e[0] for e in entries], pa.binary()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "sig", "links"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3, 7)))
+            tokens, shingles = batch.column(7), batch.column(8)
+            for k, (key, (own, *rest)) in enumerate(zip(keys, rows)):
+                if key != at:
+                    if at is not None:
+                        yield from flush()
+                    at, sides = key, ([], [])
+                prefix = np.frombuffer(tokens[k].values.to_numpy().tobytes(), np.uint64)
+                sides[own != key[1]].append((*rest, prefix, np.frombuffer(shingles[k].as_py(), np.uint64)))
+        if at is not None:
+            yield from flush()
+
+    key = ["doc_id", "n", "sig"]
+    nodes = few(part.select(F.col("node").alias("doc_id"), "component"))
+    known = heads.join(nodes, "doc_id").dropDuplicates(key).join(classes.select("n", "sig", "size"), ["n", "sig"])
+    known = store(known, "link-prefixes")
+    blocks = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = few(store(blocks, "link-blocks"))
+    sets = docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig binary, shingles binary")
+    sets = store(sets, "link-sets").dropDuplicates(key).join(known, key).join(blocks, "component")
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = sets.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "size", "m", "tokens", "shingles")
+    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    counts = store(met.mapInArrow(count, "n int, sig binary, links long"), "link-counts")
+    return store(counts.groupBy("n", "sig").agg(F.sum("links").alias("links")), "class-links")
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
+    """A row for each of docs: doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable by links);
+    if links, also n_links, the number of other documents that it links with, those with the same set counted in.
 
     Two documents link when 100 * intersection >= percent * union of their sets of shingles (see shingle_sets). A document without words (null
-    text too) has an empty set, links with nothing and is its own class and component. Rows with null doc_id take no part: null class and
-    component. Repeated rows are one document; doc_id is a key: of rows with equal doc_id but different texts each has its own class, but links
+    text too) has an empty set, links with nothing and is its own class and component. Rows with null doc_id take no part: null class,
+    component and n_links. Repeated rows are one document; doc_id is a key: of rows with equal doc_id but different texts each has its own class, but links
     only of one of them are sure to be found. Other columns play no part; empty tables give no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = store(describe(docs, words, percent), "prefixes")
     some = known.where("n > 0 and doc_id is not null")
-    classes = store(some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id")), "classes")
+    size = [F.countDistinct("doc_id").alias("size")] if links else []
+    classes = store(some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id"), *size), "classes")
     others = some.select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.col("sig").alias("__sig"))
     others = store(others.distinct(), "class-members")
     if others.count() <= BROADCAST_IDS:
@@ -283,9 +390,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     near = F.least(F.col("n") - F.col("pos"), F.col("top.n") - F.col("top.pos")) >= _need(F.col("n"), F.col("top.n"), percent)
     first = index.where((F.col("doc_id") != F.col("top.doc_id")) & near)
     first = store(first.select(F.least("doc_id", "top.doc_id").alias("a"), F.greatest("doc_id", "top.doc_id").alias("b")).distinct(), "pairs-1")
-    links = verified(first, docs, words, percent)
+    linked = verified(first, docs, words, percent)
 
-    part = store(components(links), "components-1")
+    part = store(components(linked), "components-1")
     place = index.drop("top", "docs").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     place = store(place.withColumn("before", F.lag("token").over(Window.partitionBy("doc_id", "n").orderBy("pos"))), "placed")
     mixed = place.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
@@ -300,11 +407,15 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     if not second.isEmpty():
         more = verified(second, docs, words, percent)
         if not more.isEmpty():
-            part = store(components(links.union(more), "components-2"), "components-2")
-    ends = classes.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "sig", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+            part = store(components(linked.union(more), "components-2"), "components-2")
+    ends = classes.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "sig", "class_id", *(["size"] if links else []), F.coalesce("component", "class_id").alias("component_id"))
+    if links:
+        ends = ends.join(link_counts(heads, part, classes, docs, words, percent), ["n", "sig"], "left")
     out = known.select("doc_id", "n", "sig").join(ends, ["n", "sig"], "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"))
+    others = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)) if links else None
+    n_links = [F.when(F.col("doc_id").isNotNull(), others).alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"), *n_links)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -70,7 +70,7 @@ FROM d WINDOW w AS (PARTITION BY h)
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.groups(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_join.groups(docs, words=3, percent=90, links=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

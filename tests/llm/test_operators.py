@@ -109,6 +109,32 @@ def test_jaccard_groups(spark, words, percent):
     assert jaccard_join.groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("words, percent, block", [(3, 90, 256), (2, 60, 3)])
+def test_jaccard_links(spark, monkeypatch, words, percent, block):
+    """n_links against all pairs: a triangle, whose B-C link joins no components, a large group, copies, repeated rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    rng = random.Random(percent)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "b"])), (3, " ".join([*base, "c"])), (4, " ".join(base).upper()), (5, ""), (6, None), (7, "alone")]
+    other = [f"v{i}" for i in range(80)]
+    for i in range(100, 140):
+        w = list(other)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").translate(LOWER).split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    similar = lambda x, y: bool(x) and 100 * len(x & y) >= percent * len(x | y)
+    want = {i: sum(i != j and similar(x, y) for j, y in sets.items()) for i, x in sets.items()}
+    got = jaccard_join.groups(docs(spark, [*rows, (None, "null id"), rows[0], rows[20]]), words, percent, links=True).collect()
+    assert len(got) == len(rows) + 3 and want[2] == 3
+    for r in got:
+        assert r["n_links"] == want.get(r["doc_id"]), r
+
+
 def test_prefix_lemma():
     """Similar sets share at least the smaller m within their prefixes."""
     rng = np.random.default_rng(1)
