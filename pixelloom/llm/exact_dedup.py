@@ -38,7 +38,7 @@ class DigestIndex:
 
     def unseen(self, entries: DataFrame) -> DataFrame:
         """The entries whose digest isn't in the index: a sort-merge anti-join that doesn't shuffle the index."""
-        return entries.join(self.read().hint("merge").select("digest"), "digest", "left_anti") if self.exists() else entries
+        return entries.join(self.read().hint("merge").select("digest"), "digest", "left_anti")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -55,13 +55,14 @@ def resolve(docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str
     same = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     entries = same.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     entries = store(entries, "digest-groups")
-    fresh = index.unseen(entries).withColumn("here", F.lit(True))
-    if index.exists():
-        first = index.read().hint("merge").select("digest", F.col("keep_id").alias("first_id"))
-        seen = entries.join(first, "digest").select("digest", F.col("first_id").alias("keep_id"), "group_size", F.lit(False).alias("here"))
-        fresh = store(fresh.union(seen), "digest-fates")  # before the index grows
-    index.append(fresh.where("here"))
-    each = same.join(fresh, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    if not index.exists():
+        index.append(entries.where(F.lit(False)))  # an empty table
+    fresh = store(index.unseen(entries).select("digest", "keep_id"), "digest-fresh")  # before the index grows
+    index.append(fresh)
+    held = entries.drop("keep_id").join(index.read().hint("merge").select("digest", "keep_id"), "digest")
+    fates = held.join(fresh.select("digest", F.lit(True).alias("here")).hint("merge"), "digest", "left")
+    fates = store(fates.withColumn("here", F.coalesce("here", F.lit(False))), "digest-fates")  # the caller may drop the index
+    each = same.join(fates, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     kept = F.col("here") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return each.select("doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 

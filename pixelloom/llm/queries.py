@@ -57,7 +57,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = exact_dedup.DigestIndex(spark)
     fates = exact_dedup.resolve(docs, index)
-    index.drop()  # the result doesn't read it
+    index.drop()  # the keepers have been read from it and stored
     return fates.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -274,6 +274,22 @@ def test_sharding(spark, limit):
     assert sharding.shard(docs(spark, []), limit).count() == 0
 
 
+def test_exact_dedup_goes_through_the_index(spark, monkeypatch):
+    """A new index is anti-joined too, and keepers are what the index holds."""
+    calls, read = [], exact_dedup.DigestIndex.read
+
+    def noted(self):
+        calls.append(read(self).count())
+        return read(self).withColumn("keep_id", F.col("keep_id") + 1000)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "read", noted)
+    index = exact_dedup.DigestIndex(spark)
+    fates = exact_dedup.resolve(docs(spark, [(1, "a"), (2, "A"), (3, "b")]), index)
+    index.drop()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in fates.collect()) == [(1, 1002, 2), (2, 1002, 2), (3, 1003, 1)]
+    assert calls == [0, 2]
+
+
 def test_exact_dedup(spark):
     rows = [(1, "Abc"), (2, "aBC"), (3, "abd"), (4, None), (5, ""), (6, "É"), (7, "é"), (2, "aBC"), (None, "abd"), (9, "x" * 2_000_000), (10, "X" * 2_000_000)]
     df = docs(spark, rows)
