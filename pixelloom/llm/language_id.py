@@ -1,4 +1,9 @@
-"""Language identification: averaged hashed subword embeddings with a linear softmax, trained in numpy, with calibrated rejection."""
+"""Language identification: averaged hashed subword embeddings with a linear softmax, trained in numpy, with calibrated rejection.
+
+Beside the languages the model learns a class of texts in none of them, from texts with shuffled letters and from random letters of other
+alphabets. A text that is long enough to tell is rejected where this class is ODDS times likelier than the best language, and any text where
+the best of the languages isn't likely enough beside the others.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +23,10 @@ from pixelloom.llm.common import small_batches, turn_to
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 16, (2, 3, 4)
 #: Training: labelled documents for each language at most, about; longest of them in characters; epochs; words of the short pieces.
 SAMPLE, LONGEST, EPOCHS, PIECE = 1000, 100_000, 4, (3, 30)
+#: Characters of the shortest pieces that are turned into text in no language.
+SHORTEST = 12
+#: Subwords of the shortest texts (some 30 letters) that the class of no language can reject, and how much likelier it must be.
+FEWEST, ODDS = 80, 3.0
 #: A text is rejected if its best probability is below the level that this share of the held-back, rightly recognised training texts exceeds.
 #: The level is never above MOST_LEAST: a text with a language that is so likely is kept.
 KEEP_SHARE, MOST_LEAST = 0.9995, 0.4
@@ -63,7 +72,7 @@ def code_points(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # embeddings times output weights: (BUCKETS, languages)
+    table: np.ndarray  # embeddings times output weights: (BUCKETS, languages and none of them)
     bias: np.ndarray
     heat: float  # divides the logits
     least: float  # probabilities below are rejected
@@ -71,7 +80,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, probabilities and whether rejected; und, 0 and rejected for a text that is null or has no letter."""
         n, k = len(texts), len(self.languages)
-        sums, counts, some = np.zeros((n, k)), np.zeros(n), np.zeros(n, bool)
+        sums, counts, some = np.zeros((n, self.table.shape[1])), np.zeros(n), np.zeros(n, bool)
         points = [code_points(t or "") for t in texts]
         ends = np.cumsum([len(p) for p in points])
         whole = np.concatenate(points) if points else np.zeros(0, np.uint32)
@@ -90,16 +99,30 @@ class Model:
         if not k:
             return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
         z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.heat
-        p = np.exp(z - z.max(1, keepdims=True))
+        none = z[:, k] - z[:, :k].max(1) > np.log(ODDS)
+        p = np.exp(z[:, :k] - z[:, :k].max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         score = np.where(some, p[np.arange(n), best], 0.0)
-        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some)], score, ~some | (score < self.least)
+        return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some)], score, ~some | (score < self.least) | (none & (counts >= FEWEST))
+
+
+def no_language(text: str, rng: np.random.Generator) -> np.ndarray:
+    """Code points of a text in no language: text with its letters shuffled, or with random ones of some 30 in a row of all letters instead."""
+    points = code_points(text).copy()
+    at = np.flatnonzero(letters()[np.minimum(points, 0x3347F)])
+    if rng.random() < 0.5:
+        points[at] = rng.permutation(points[at])
+    else:
+        every = np.flatnonzero(letters())
+        points[at] = every[int(rng.integers(len(every) - 30)) + rng.integers(30, size=len(at))]
+    return points
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     """A model of the given texts, whole and in random short pieces; a tenth of the texts is held back for calibration."""
     languages = sorted(set(langs))
+    others = np.random.default_rng(seed + 1)
     k, rng = len(languages), np.random.default_rng(seed)
     back = rng.random(len(texts)) < 0.1 if len(texts) >= 50 else np.zeros(len(texts), bool)
     examples, held = [], []
@@ -111,13 +134,15 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
                 w = int(rng.integers(*PIECE))
                 i = int(rng.integers(len(words) - w))
                 pieces.append(" ".join(words[i : i + w]))
-        for s in pieces:
-            found = subwords(code_points(s))[1]
+        every = [(code_points(s), y) for s in pieces]
+        every += [(no_language(s, others), k) for s in pieces[-2:] if len(s) >= SHORTEST]
+        for points, y in every:
+            found = subwords(points)[1]
             ids, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0))
             if len(ids):
                 (held if b else examples).append((ids, (n / n.sum()).astype(np.float32), y))
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    out, bias = np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
+    out, bias = np.zeros((WIDTH, k + 1), np.float32), np.zeros(k + 1, np.float32)
     steps, done = max(1, EPOCHS * len(examples)), 0
     for _ in range(EPOCHS):
         for j in rng.permutation(len(examples)):
@@ -145,8 +170,13 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             return float(np.mean(np.log(np.exp(q).sum(1)) - q[np.arange(len(y)), y]))
 
         heat = min((float(h) for h in np.geomspace(0.05, 20, 61)), key=loss)
-        q = np.exp(z / heat - (z / heat).max(1, keepdims=True))
-        top = (q / q.sum(1, keepdims=True)).max(1)[z.argmax(1) == y]
+        right = (z[:, :k].argmax(1) == y) & (y < k)
+        if right.any():  # the class of no language takes no larger share of them than KEEP_SHARE leaves
+            move = min(0.0, float(np.quantile(z[right, :k].max(1) - z[right, k], 1 - KEEP_SHARE)))
+            bias[k] += move
+            z[:, k] += move
+        q = np.exp(z[:, :k] / heat - (z[:, :k] / heat).max(1, keepdims=True))
+        top = (q / q.sum(1, keepdims=True)).max(1)[right]
         least = float(min(MOST_LEAST, np.quantile(top, 1 - KEEP_SHARE))) if len(top) else MOST_LEAST
     return Model(languages, table, bias, heat, least)
 

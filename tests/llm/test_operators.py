@@ -232,6 +232,11 @@ def test_language_id(spark):
     assert [got[i]["rejected"] for i in range(1, 7)] == [False, True, True, False, True, False] and all(0 <= r["lang_score"] <= 1 for r in got.values())
     a, b, c = model.predict(["der the", "le", "12"]), model.predict(["der the"]), model.predict(["le"])
     assert a[1][0] == b[1][0] and a[1][1] == c[1][0] and a[0][2] == "und"
+    for some in (["en"], ["de", "en"], ["de", "en", "fr"]):  # texts in no language that was learned go, with few languages too
+        own = [(t, lang) for t, lang in zip(texts, langs) if lang in some]
+        few = language_id.fit([t for t, _ in own], [lang for _, lang in own])
+        junk = ["".join(rng.choice("qxzjkvwpy ") for _ in range(200)) for _ in range(50)] + ["".join(rng.choice("абвгдежзик ") for _ in range(200)) for _ in range(50)]
+        assert few.predict(junk)[2].mean() > 0.9 and few.predict([t for t, _ in own])[2].mean() < 0.02
     empty = language_id.train(docs(spark, []))
     assert language_id.identify(docs(spark, [(1, "the")]), empty).first()["lang_pred"] == "und"
 
