@@ -57,9 +57,10 @@ def lbm(d: bytes, options: Options = Options()) -> Surface:
     true_colour = planes in (24, 32)
     need(planes <= 8 or true_colour, "unsupported_bit_depth", "Unsupported bit depth")
     line, stored = (w + 15) // 16 * 2, planes + (masking == 1)
-    rows = _rows(body, packing, line, height * stored)
-    if rows is None and packing:
+    if packing and not rle.byterun1_fits(body, line, height * stored):  # commands run on from plane to plane
         rows = _rows(body, packing, line * stored, height)
+    else:
+        rows = _rows(body, packing, line, height * stored)
     need(rows is not None, "truncated_data", "Invalid ByteRun1 data" if packing else "Unexpected end of data")
     raw = rows.reshape(height, stored, line)
     if true_colour:

@@ -73,6 +73,22 @@ def byterun1(d: bytes, at: int, size: int) -> tuple[bytes, int]:
     return bytes(out), at
 
 
+def byterun1_fits(d: bytes, size: int, n: int) -> bool:
+    """Whether ByteRun1 commands make n rows of size bytes, none of them passing a row's end. Nothing is expanded."""
+    at = 0
+    for _ in range(n):
+        left = size
+        while left > 0:
+            if at >= len(d):
+                return False
+            c = d[at]
+            left -= c + 1 if c < 128 else 257 - c if c > 128 else 0
+            at += c + 2 if c < 128 else 2 if c > 128 else 1
+            if left < 0 or at > len(d):
+                return False
+    return True
+
+
 def bmp_rle(d: bytes, width: int, height: int, bits: int) -> bytes:
     """Indices, rows as stored, of BMP's RLE8 or RLE4; what isn't written is 0, and what is beyond a row is lost."""
     rows = bytearray(width * height)
