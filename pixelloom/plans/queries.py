@@ -11,7 +11,7 @@ from pixelloom.functions import columns as c
 from pixelloom.operators import assemble as a
 from pixelloom.operators import raw
 from pixelloom.plans import palettes as p
-from pixelloom.plans.detect import CODECS, codecs, detect
+from pixelloom.plans.detect import codecs, detect
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,7 +67,14 @@ def sql_summed(source: str, values: list[str]) -> str:
 # Registry and palettes.
 
 
-@query("codec_registry_list", "SELECT ord::INT AS ord, name, n_ext::INT AS n_ext FROM (VALUES " + ", ".join(f"({i}, '{n}', {len(e.split())})" for i, (n, e) in enumerate(CODECS)) + ") t(ord, name, n_ext)")
+#: Names of the codecs in order, each with its number of file extensions, as the SQL states them. Fixed values.
+SQL_CODECS = (
+    "pcx 2, png 1, lbm 4, jpeg 4, tga 2, gif 1, bmp 2, sunrast 2, pictor 2, sgi 4, pnm 4, dcx 1, msp 1, neo 1, degas 6, crack_art 3, spectrum512 2, photochrome 1, "
+    "tiny_stuff 3, doodle 1, qoi 1, ico 2, exe_icon 3, c64_doodle 3, runpaint 1, interpaint 2, ami 1, funpaint 3, c64_hires 8, koala 5, drazlace 1"
+)
+
+
+@query("codec_registry_list", "SELECT ord::INT AS ord, name, n_ext::INT AS n_ext FROM (VALUES " + ", ".join(f"({i}, '{x.split()[0]}', {x.split()[1]})" for i, x in enumerate(SQL_CODECS.split(", "))) + ") t(ord, name, n_ext)")
 def codec_registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs(spark).select("ord", "name", F.size("extensions").alias("n_ext"))
 
@@ -76,12 +83,42 @@ def _palette(name: str) -> Query:
     return lambda spark, sf_dir: p.frame(spark, name)
 
 
-def _values(colours: list[int]) -> str:
-    return "SELECT idx::INT AS idx, r::INT AS r, g::INT AS g, b::INT AS b FROM (VALUES " + ", ".join(f"({i}, {x >> 16}, {x >> 8 & 255}, {x & 255})" for i, x in enumerate(colours)) + ") t(idx, r, g, b)"
-
-
-for _name in ("cga", "cga0_low", "cga0_high", "cga1_low", "cga1_high", "ega_default", "c64", "c64_colodore", "amiga_wb1", "amiga_wb2", "amiga_wb3", "amiga_dpaint", "atari_st"):
-    query(f"palette_{_name}", _values(p.PALETTES[_name]))(_palette(_name))
+#: The palettes' colours as the SQL states them, RRGGBB. Fixed values.
+SQL_COLOURS = {
+    "cga": (
+        "000000 0000AA 00AA00 00AAAA AA0000 AA00AA AA5500 AAAAAA 555555 5555FF 55FF55 55FFFF FF5555 FF55FF FFFF55 FFFFFF"
+    ),
+    "cga0_low": "000000 00AA00 AA0000 AA5500",
+    "cga0_high": "000000 55FF55 FF5555 FFFF55",
+    "cga1_low": "000000 00AAAA AA00AA AAAAAA",
+    "cga1_high": "000000 55FFFF FF55FF FFFFFF",
+    "c64": (
+        "000000 FFFFFF 68372B 70A4B2 6F3D86 588D43 352879 B8C76F 6F4F25 433900 9A6759 444444 6C6C6C 9AD284 6C5EB5 959595"
+    ),
+    "c64_colodore": (
+        "000000 FFFFFF 813338 75CEC8 8E3C97 56AC4D 2E2C9B EDF171 8E5029 553800 C46C71 4A4A4A 7B7B7B A9FF9F 706DEB B2B2B2"
+    ),
+    "amiga_wb1": "0055AA FFFFFF 000000 FF8800",
+    "amiga_wb2": "959595 000000 FFFFFF 3B67A2",
+    "amiga_wb3": "959595 000000 FFFFFF 3B67A2 7B7B7B AFAFAF AA907C FFA997",
+    "amiga_dpaint": (
+        "000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF AA0000 00AA00 0000AA AAAA00 AA00AA 00AAAA AAAAAA 555555 "
+        "FFAAAA AAFFAA AAAAFF FFFFAA FFAAFF AAFFFF FF5500 00FF55 5500FF FF55AA 55FF00 0055FF 884400 448844 444488 888888"
+    ),
+    "atari_st": (
+        "FFFFFF FF0000 00FF00 FFFF00 0000FF FF00FF 00FFFF B6B6B6 494949 920000 009200 929200 000092 920092 009292 000000"
+    ),
+}
+SQL_COLOURS["ega_default"] = SQL_COLOURS["cga"]
+
+
+def _values(name: str) -> str:
+    colours = enumerate(SQL_COLOURS[name].split())
+    return "SELECT idx::INT AS idx, ('0x' || c[1:2])::INT AS r, ('0x' || c[3:4])::INT AS g, ('0x' || c[5:6])::INT AS b FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in colours) + ") t(idx, c)"
+
+
+for _name in SQL_COLOURS:
+    query(f"palette_{_name}", _values(_name))(_palette(_name))
 
 
 def _sql_ega(x: str) -> str:
@@ -105,7 +142,7 @@ six AS (
   UNION ALL SELECT 16 + i, i * 63 // 15, i * 63 // 15, i * 63 // 15 FROM range(0, 16) t(i)
   UNION ALL SELECT i, (i - 224) * 63 // 31, (i - 224) * 63 // 31, (i - 224) * 63 // 31 FROM range(224, 256) t(i)),
 eight AS (SELECT idx, ((r::INT << 2) | (r::INT >> 4)) AS r, ((g::INT << 2) | (g::INT >> 4)) AS g, ((b::INT << 2) | (b::INT >> 4)) AS b FROM six)
-SELECT idx::INT AS idx, r::INT AS r, g::INT AS g, b::INT AS b FROM eight UNION ALL """ + _values(p.CGA))(_palette("vga_default"))
+SELECT idx::INT AS idx, r::INT AS r, g::INT AS g, b::INT AS b FROM eight UNION ALL """ + _values("cga"))(_palette("vga_default"))
 
 
 @query("palette_grayscale", "SELECT n::INT AS n, i::INT AS idx, (i * 255 // (n - 1))::INT AS v FROM (VALUES (2), (4), (16), (256)) t(n), LATERAL (SELECT unnest(range(0, n)) AS i)")
@@ -256,7 +293,7 @@ def _sql_indices(mask: int = 255) -> str:
     return sql_tiles(64) + f", i AS (SELECT doc_id, tile, 0 AS y, x::INT AS x, (a[x + 1] & {mask})::INT AS idx FROM b, range(0, 64) t(x))"
 
 
-@query("palette_apply_missing_black", f"WITH {_sql_indices(31)}, p AS ({_values(p.CGA)}) " + sql_summed("SELECT doc_id, tile, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM i LEFT JOIN p ON i.idx = p.idx", ["r", "g", "b"]))
+@query("palette_apply_missing_black", f"WITH {_sql_indices(31)}, p AS ({_values("cga")}) " + sql_summed("SELECT doc_id, tile, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM i LEFT JOIN p ON i.idx = p.idx", ["r", "g", "b"]))
 def palette_apply_missing_black(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(a.apply_palette(_indices(spark, sf_dir, 31), p.frame(spark, "cga")), ["r", "g", "b"])
 
@@ -285,12 +322,12 @@ _ham(4)
 _ham(6)
 
 
-@query("ehb_palette", "WITH p AS (" + _values(p.AMIGA_DPAINT) + ") SELECT * FROM p UNION ALL SELECT (idx + 32)::INT, (r >> 1)::INT, (g >> 1)::INT, (b >> 1)::INT FROM p")
+@query("ehb_palette", "WITH p AS (" + _values("amiga_dpaint") + ") SELECT * FROM p UNION ALL SELECT (idx + 32)::INT, (r >> 1)::INT, (g >> 1)::INT, (b >> 1)::INT FROM p")
 def ehb_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.half_brite(p.frame(spark, "amiga_dpaint"))
 
 
-@query("greys_fill_palette", "WITH p AS (" + _values(p.AMIGA_WB3) + ") SELECT i::INT AS idx, coalesce(r, i * 255 // 31)::INT AS r, coalesce(g, i * 255 // 31)::INT AS g, coalesce(b, i * 255 // 31)::INT AS b FROM range(0, 32) t(i) LEFT JOIN p ON i = idx")
+@query("greys_fill_palette", "WITH p AS (" + _values("amiga_wb3") + ") SELECT i::INT AS idx, coalesce(r, i * 255 // 31)::INT AS r, coalesce(g, i * 255 // 31)::INT AS g, coalesce(b, i * 255 // 31)::INT AS b FROM range(0, 32) t(i) LEFT JOIN p ON i = idx")
 def greys_fill_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.fill_greys(p.frame(spark, "amiga_wb3"), 32)
 
@@ -449,4 +486,4 @@ def ega_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coloured.select("idx", "r", "g", "b", "n")
 
 
-query("ega_histogram", f"WITH {sql_tiles(64)}, {sql_grid(16, 8)}, i AS (SELECT {_sql_planes(4, 'y * 8 + {p} * 2 + x // 8')} AS idx FROM b, g), p AS ({_values(p.CGA)}) SELECT p.idx, r, g, p.b, count(*) AS n FROM i JOIN p ON i.idx = p.idx GROUP BY ALL")(ega_histogram)
+query("ega_histogram", f"WITH {sql_tiles(64)}, {sql_grid(16, 8)}, i AS (SELECT {_sql_planes(4, 'y * 8 + {p} * 2 + x // 8')} AS idx FROM b, g), p AS ({_values("cga")}) SELECT p.idx, r, g, p.b, count(*) AS n FROM i JOIN p ON i.idx = p.idx GROUP BY ALL")(ega_histogram)

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from pixelloom.plans import decode_queries, queries
+from pixelloom.plans import decode_queries, file_queries, queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**queries.QUERIES, **decode_queries.QUERIES}
-ORACLES = {**queries.ORACLES, **decode_queries.ORACLES}
+QUERIES = {**queries.QUERIES, **decode_queries.QUERIES, **file_queries.QUERIES, **stream_queries.QUERIES}
+ORACLES = {**queries.ORACLES, **decode_queries.ORACLES, **file_queries.ORACLES, **stream_queries.ORACLES}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
