@@ -14,8 +14,8 @@ from pixelloom.codecs import amiga, atari, commodore, icons, pc, png, web
 from pixelloom.model import SURFACE, DecodeError, Options, Surface
 from pixelloom.plans.detect import CODECS, codecs, detect
 
-#: Files to a batch of input, and bytes of pixels after which a batch of output ends.
-BATCH_FILES, OUT_BYTES = 256, 16 << 20
+#: Bytes of pixels after which a batch of output ends. Spark bounds batches of input by bytes.
+OUT_BYTES = 16 << 20
 
 Decoder = Callable[[bytes, Options], Surface]
 DECODERS: dict[str, Decoder] = {
@@ -105,7 +105,6 @@ def decode(files: DataFrame, codec: str | None = None, options: Options = Option
     schema = files.select(*keep).schema
     for f in SURFACE.fields:
         schema = schema.add(f)
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(SURFACE)
