@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pixelloom.llm.common import holds, small_batches, turn_to
+from pixelloom.llm.common import holds, others, slices, turn_to
 
 #: Fixed by the vocabulary's file: the word-end mark, the pre-token pattern, and the strings taken as whole tokens.
 WORD_END = "</w>"
@@ -27,8 +27,8 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_
 #: White space to Python's split() that isn't to Unicode.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
-#: Characters of an output batch, and words in a cache generation (two generations are held).
-OUT_CHARS, CACHE_WORDS = 4 << 20, 400_000
+#: Bytes of text to an output batch, and words in a cache generation (two generations are held).
+OUT_BYTES, CACHE_WORDS = 4 << 20, 400_000
 MARK = "\n"  # stands for the word end; never a byte's character
 NONE = -1
 #: Characters of a short word, and how many prefixes of short words are kept.
@@ -67,12 +67,12 @@ class Bpe:
         self.whole: dict[int, bool] = {}
         #: Reads a text backwards and recognises the tokens that are its suffixes: {character: next state, "": token}.
         self.automaton: dict = {}
+        self.words = {s: i for s, i in self.words.items() if self.reachable(i)}  # others never occur in an encoding
         for s, i in self.words.items():
-            if self.reachable(i):
-                state = self.automaton
-                for c in reversed(s):
-                    state = state.setdefault(c, {})
-                state[""] = i
+            state = self.automaton
+            for c in reversed(s):
+                state = state.setdefault(c, {})
+            state[""] = i
         self.length = {i: len(s) for s, i in self.words.items()}
         self.table = str.maketrans({b: c for b, c in enumerate(byte_characters())})
         self.prefixes: dict[str, int] = {}
@@ -129,7 +129,7 @@ class Bpe:
         the whole word, then those that a candidate for its last token leaves; a stack holds the prefixes that wait for another's answer.
         """
         s = (pre_token if pre_token.isascii() and pre_token.isprintable() else pre_token.encode("utf-8", "replace").decode("latin-1").translate(self.table)) + MARK
-        if (i := self.words.get(s)) is not None:
+        if (i := self.words.get(s)) is not None:  # a reachable token is the encoding of its own text
             return [i]
         if len(s) <= SHORT:
             return self._short(s)
@@ -284,27 +284,14 @@ def model(path: str) -> Bpe:
 holds("bpe", model.cache_clear)
 
 
-def slices(texts: list[str | None], most: int = OUT_CHARS) -> Iterator[tuple[int, int]]:
-    """Row ranges of up to about most characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total > most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df without its column text, plus ids (binary: little-endian unsigned 32-bit integers) and, if asked for, the decoded text.
 
     Null texts count as empty: ids without bytes. Rows are independent: repeated rows, empty tables and other columns need no care, but a
-    column named ids (or decoded) is replaced. Special tokens are not added; their strings in a text become their ids. Whole texts are read,
+    column named ids (or decoded), in any case, is replaced. Special tokens are not added; their strings in a text become their ids. Whole texts are read,
     in batches; nothing is shuffled.
     """
-    small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in (text, ids, decoded)]
+    keep = others(df, [text, ids, decoded])
     add = f"{ids} binary" + (f", {decoded} string" if decoded else "")
     schema = df.select(*keep).schema
     for name, kind in (x.split() for x in add.split(", ")):
@@ -313,9 +300,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in slices(texts):
-                found = [bpe.encode(t) for t in texts[a:b]]
+            texts = batch.column(len(keep))
+            for a, b in slices(texts, OUT_BYTES):
+                found = [bpe.encode(t) for t in texts.slice(a, b - a).to_pylist()]
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(found, pa.binary())]
                 if decoded:
                     columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
@@ -326,15 +313,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """df without its column ids, plus the decoded text; null ids give null. Otherwise as encode()."""
-    small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c not in (ids, text)]
+    keep = others(df, [ids, text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            found = batch.column(len(keep)).to_pylist()
-            for a, b in slices(found):
-                texts = [None if x is None else bpe.decode(x) for x in found[a:b]]
+            found = batch.column(len(keep))
+            for a, b in slices(found, OUT_BYTES):
+                texts = [None if x is None else bpe.decode(x) for x in found.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(texts, pa.string())], names=[*keep, text])
 
     return df.select(*keep, ids).mapInArrow(run, df.select(*keep).schema.add(text, "string"))

@@ -25,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.bpe import slices
-from pixelloom.llm.common import components, holds, small_batches, store, turn_to
+from pixelloom.llm.common import components, free_name, holds, join_groups, slices, store, turn_to
 
-#: Most entries in the table of frequent shingles, which every task gets (12 bytes each); shingles rarer than RARE are never in it.
+#: Most entries in the table of frequent shingles, which every task gets (16 bytes each); shingles rarer than RARE are never in it.
 FREQUENT, RARE = 1 << 20, 8
 #: Largest m, and the cost of verifying a candidate in units of reading an entry of the index.
 MOST_MATCHES, VERIFY = 4, 4.0
 #: Shingles that a task counts before it hands on their sum, and ids of candidates up to which they are broadcast.
-FLUSH, BROADCAST_IDS = 4 << 20, 2_000_000
+FLUSH, BROADCAST_IDS = 2 << 20, 1_000_000
 STRETCH = 1 << 20
+#: Documents with a prefix shingle beyond which they are dealt over blocks.
+SHARED = 1024
 #: Sets, and shingles, to a block of a component (about; sets are dealt by hash), and shingles that a product of two blocks takes at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 4096
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -112,37 +113,23 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _pack_cells(cells: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
-    """Sorted 32-bit cells by their first bits, as differences of 16 bits where these do."""
-    cells = np.sort(cells)
-    cut = np.searchsorted(cells, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-    out = []
-    for i, part in enumerate(np.split(cells, cut)):
-        if len(part):
-            d = np.diff(part.astype(np.int64), prepend=i << (32 - bits))
-            out.append((i, b"2" + d.astype("<u2").tobytes() if d.max() < 1 << 16 else b"4" + d.astype("<u4").tobytes()))
-    return out
-
-
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted cells (first 32 bits) and document frequencies of the most frequent shingles: all that are as frequent as a level, which is
-    chosen so that there are no more than FREQUENT. All documents are counted. Tasks send their counts by ranges of cells."""
-    spark = docs.sparkSession
-    bits = min(16, max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    """Sorted shingles (64 bits, signed) and document frequencies of the most frequent ones: all that are as frequent as a level, which is chosen
+    so that there are no more than FREQUENT. All documents are counted: a task sums its shingles, a shuffle the tasks' sums."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            packed = _pack_cells(np.concatenate(held), bits)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())], names=["part", "cells"])
+            found, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "df"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0)
             for a, b in slices(texts, STRETCH):
-                for s in shingle_sets(texts[a:b], words):
-                    held.append((s >> np.uint64(32)).astype(np.uint32))
+                for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words):
+                    held.append(s)
                     n += len(s)
                 if n >= FLUSH:
                     yield flush()
@@ -150,24 +137,17 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         if n:
             yield flush()
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        base = int(group["part"].iloc[0]) << (32 - bits)
-        parts = [base + np.cumsum(np.frombuffer(c, f"<u{c[:1].decode()}", offset=1), dtype=np.int64) for c in group["cells"]]
-        cells, n = np.unique(np.concatenate(parts), return_counts=True)
-        some = n >= RARE
-        return pd.DataFrame({"cell": cells[some], "df": n[some].astype(np.int64)})
-
-    counted = docs.select("text").mapInArrow(tally, "part int, cells binary").groupBy("part").applyInPandas(add, "cell long, df long")
+    counted = docs.select("text").mapInArrow(tally, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= RARE)
     counted = store(counted.withColumn("level", F.floor(F.log2("df") * 8).cast("int")), "frequent")
-    levels = sorted(counted.groupBy("level").count().collect(), reverse=True)
+    levels = sorted(counted.groupBy("level").count().collect(), reverse=True)  # some 8 for each doubling of the number of documents
     total, least = 0, 1 << 30
     for level, n in levels:
         total += n
         if total > FREQUENT:
             break
         least = level
-    rows = counted.where(F.col("level") >= least).select("cell", "df").toPandas().sort_values("cell")
-    return rows["cell"].to_numpy(np.uint32), rows["df"].to_numpy(np.int64)
+    rows = counted.where(F.col("level") >= least).select("shingle", "df").toPandas().sort_values("shingle")
+    return rows["shingle"].to_numpy(np.int64), rows["df"].to_numpy(np.int64)
 
 
 def prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -182,17 +162,16 @@ def prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), sig (16 bytes that stand for the set), m, tokens (the prefix in order)."""
-    cells, dfs = frequent_shingles(docs, words)
-    table = docs.sparkSession.sparkContext.broadcast((cells, dfs))  # FREQUENT entries at most
+    """doc_id, version, n (size of the set), sig (16 bytes that stand for the set), m, tokens (the prefix in order)."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))  # FREQUENT entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
-        cells, dfs = table.value
+        shingles, dfs = table.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2)
             for a, b in slices(texts, STRETCH):
-                sets = shingle_sets(texts[a:b], words)
+                sets = shingle_sets(texts.slice(a, b - a).to_pylist(), words)
                 sig, ms, tokens = [], [], []
                 for s in sets:
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -201,21 +180,22 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         tokens.append(np.zeros(0, np.int64))
                         continue
                     df = np.zeros(len(s), np.int64)
-                    if len(cells):
-                        c = (s >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
-                        df = np.where(cells[at] == c, dfs[at], 0)
+                    if len(shingles):
+                        c = s.view(np.int64)
+                        at = np.minimum(np.searchsorted(shingles, c), len(shingles) - 1)
+                        df = np.where(shingles[at] == c, dfs[at], 0)
                     chosen, m = prefix(s, df, percent)
                     ms.append(m)
                     tokens.append(s[chosen].view(np.int64))
                 lengths = np.cumsum([0, *map(len, tokens)])
                 flat = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64()))
+                own = [batch.column(k).slice(a, b - a) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(ms, pa.int32()), flat],
-                    names=["doc_id", "n", "sig", "m", "tokens"],
+                    [*own, pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(ms, pa.int32()), flat],
+                    names=["doc_id", "version", "n", "sig", "m", "tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig binary, m int, tokens array<long>")
+    return docs.select("doc_id", "version", "text").mapInArrow(run, "doc_id long, version long, n int, sig binary, m int, tokens array<long>")
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -246,16 +226,16 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     """The pairs (a, b) whose whole sets are similar enough. Sets are made anew, for the documents in pairs only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts, STRETCH):
-                sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
+                sets = [s.tobytes() for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            keep, xs, ys = [], batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):
+                both = np.concatenate([np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
@@ -313,9 +293,9 @@ def link_counts(heads: DataFrame, part: DataFrame, classes: DataFrame, docs: Dat
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for a, b in slices(texts, STRETCH):
-                sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
+                sets = [s.tobytes() for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words)]
                 sig = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 columns = [pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["doc_id", "n", "sig", "shingles"])
@@ -363,26 +343,34 @@ def link_counts(heads: DataFrame, part: DataFrame, classes: DataFrame, docs: Dat
     return store(counts.groupBy("n", "sig").agg(F.sum("links").alias("links")), "class-links")
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
-    """A row for each of docs: doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable by links);
-    if links, also n_links, the number of other documents that it links with, those with the same set counted in.
-
-    Two documents link when 100 * intersection >= percent * union of their sets of shingles (see shingle_sets). A document without words (null
-    text too) has an empty set, links with nothing and is its own class and component. Rows with null doc_id take no part: null class,
-    component and n_links. Repeated rows are one document; doc_id is a key: of rows with equal doc_id but different texts each has its own class, but links
-    only of one of them are sure to be found. Other columns play no part; empty tables give no rows.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = store(describe(docs, words, percent), "prefixes")
+def _apart(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """docs and known with doc_id made a key of texts: where rows of one doc_id have different texts, each text gets a negative number of its own
+    instead. real keeps the doc_id. Also whether there were any such."""
+    known = known.withColumn("real", F.col("doc_id"))
+    named = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("version").alias("v1"), F.max("version").alias("v2"))
+    named = store(named.where("v1 <> v2").select("doc_id", F.lit(True).alias("apart")), "namesakes")
+    if named.isEmpty():
+        return docs, known, False
+    own = F.when(F.col("apart"), -1 - F.xxhash64("doc_id", "version").bitwiseAND((1 << 63) - 1)).otherwise(F.col("doc_id"))
+    docs, known = (df.join(few(named), "doc_id", "left").withColumn("doc_id", own).drop("apart") for df in (docs, known))
+    return docs, store(known, "apart"), True
+
+
+def _groups(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, links: bool) -> DataFrame:
+    """groups() with version, a hash of the row's text, and component, a number for the component."""
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be a column of integers")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), F.col(text).alias("text"))
+    docs, known, apart = _apart(docs, store(describe(docs, words, percent), "prefixes"))
     some = known.where("n > 0 and doc_id is not null")
     size = [F.countDistinct("doc_id").alias("size")] if links else []
-    classes = store(some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id"), *size), "classes")
-    others = some.select("doc_id", "n", "sig").join(classes, ["n", "sig"]).where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.col("sig").alias("__sig"))
-    others = store(others.distinct(), "class-members")
-    if others.count() <= BROADCAST_IDS:
-        others = F.broadcast(others)
-    heads = some.join(others, F.expr("doc_id = __id and n = __n and sig = __sig"), "left_anti")
+    classes = some.groupBy("n", "sig").agg(F.min("doc_id").alias("class_id"), F.min("real").alias("real_class"), F.count("*").alias("rows"), *size)
+    classes = store(classes, "classes")
+    total = known.count()
+    members = join_groups(some.select("doc_id", "n", "sig"), classes.where("rows > 1").select("n", "sig", "class_id", "rows"), ["n", "sig"], "rows", total)
+    members = members.where("doc_id <> class_id").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.col("sig").alias("__sig"))
+    members = few(store(members.distinct(), "class-members"))
+    heads = some.join(members, F.expr("doc_id = __id and n = __n and sig = __sig"), "left_anti")
     index = heads.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
     index = index.repartition("token")  # one shuffle serves the aggregate and the join
     shared = index.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("pos", "doc_id", "n")).alias("top")).where("docs > 1")
@@ -391,38 +379,75 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     near = F.least(F.col("n") - F.col("pos"), F.col("top.n") - F.col("top.pos")) >= _need(F.col("n"), F.col("top.n"), percent)
     first = index.where((F.col("doc_id") != F.col("top.doc_id")) & near)
     first = store(first.select(F.least("doc_id", "top.doc_id").alias("a"), F.greatest("doc_id", "top.doc_id").alias("b")).distinct(), "pairs-1")
-    linked = verified(first, docs, words, percent)
+    linked = verified(store(matched(first, some), "matched-1"), docs, words, percent)
 
     part = store(components(linked), "components-1")
     place = index.drop("top", "docs").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     place = store(place.withColumn("before", F.lag("token").over(Window.partitionBy("doc_id", "n").orderBy("pos"))), "placed")
     mixed = place.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
     place = store(place.join(mixed, "token", "left_semi"), "mixed")
-    # Of a pair's shared shingles only the first is wanted; where those before are the same, there was an earlier one.
-    x, y = place.alias("x"), place.alias("y")
-    near = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= _need(F.col("x.n"), F.col("y.n"), percent)
-    begins = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & begins & near)
-    second = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = store(matched(store(second, "met"), some), "pairs-2")
+    second = store(_met(place, percent).join(first, ["a", "b"], "left_anti"), "met")
+    second = store(matched(second, some), "pairs-2")
     if not second.isEmpty():
         more = verified(second, docs, words, percent)
         if not more.isEmpty():
             part = store(components(linked.union(more), "components-2"), "components-2")
-    ends = classes.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").select("n", "sig", "class_id", *(["size"] if links else []), F.coalesce("component", "class_id").alias("component_id"))
+    ends = classes.join(part.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    if apart:  # the least doc_id of a component, not the least number
+        ends = store(ends, "class-components")
+        ends = ends.join(ends.groupBy("component").agg(F.min("real_class").alias("component_id")), "component")
+    else:
+        ends = ends.withColumn("component_id", F.col("component"))
     if links:
         ends = ends.join(link_counts(heads, part, classes, docs, words, percent), ["n", "sig"], "left")
-    out = known.select("doc_id", "n", "sig").join(ends, ["n", "sig"], "left")
-    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    ends = store(ends.drop("class_id"), "class-ends")
+    out = join_groups(known.select("real", "doc_id", "version", "n", "sig"), ends, ["n", "sig"], "rows", total, "left")
+    own = lambda c, other="real": F.when(F.col("real").isNotNull(), F.coalesce(c, other))
     others = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)) if links else None
-    n_links = [F.when(F.col("doc_id").isNotNull(), others).alias("n_links")] if links else []
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"), *n_links)
+    n_links = [F.when(F.col("real").isNotNull(), others).alias("n_links")] if links else []
+    return out.select(
+        F.col("real").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("real_class").alias("class_id"), own("component_id").alias("component_id"),
+        *n_links, "version", own("component", "doc_id").alias("component"),
+    )
+
+
+def _met(place: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share a prefix shingle, met at their first one; where the ones before are the
+    same, there was an earlier one. A frequent shingle's documents are dealt over blocks of SHARED, each two of which meet in a task of their own."""
+    number = place.groupBy("token").agg(F.count("*").alias("docs")).where(F.col("docs") > SHARED)
+    blocks = F.coalesce(F.ceil(F.col("docs") / SHARED), F.lit(1)).cast("int")
+    dealt = place.join(few(store(number, "shared")), "token", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    with_others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", with_others).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("docs", "blocks", "other")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    near = F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")) >= _need(F.col("x.n"), F.col("y.n"), percent)
+    begins = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    sides = (F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own"))
+    met = x.join(y, same & sides & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & begins & near)
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
+    """A row for each of docs: doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable by links);
+    if links, also n_links, the number of other documents that it links with, those with the same set counted in.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of shingles (see shingle_sets). A document without words (null
+    text too) has an empty set, links with nothing and is its own class and component. Rows with null doc_id take no part: null class,
+    component and n_links. Repeated rows are one document. Rows with equal doc_id and different texts are documents of their own, each with its
+    own class and component, named by ids as ever. doc_id must be of an integer type, else TypeError. Other columns play no part; empty tables
+    give no rows.
+    """
+    return _groups(docs, words, percent, text, doc_id, links).drop("version", "component")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs, all columns, with one document of each group of groups(): the one with the least doc_id. Rows with null doc_id stay."""
-    gone = groups(docs, words, percent, text, doc_id).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = store(gone, "near-copies")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """docs, all columns whatever their names, with one document of each group of groups(): the one with the least doc_id (of several texts with
+    that doc_id, the one with the least hash). Rows that repeat it stay with it. Rows with null doc_id and documents without words stay."""
+    found = store(_groups(docs, words, percent, text, doc_id, False).where("doc_id is not null").select("doc_id", "version", "component"), "grouped")
+    one = F.struct("doc_id", "version")
+    heads = found.groupBy("component").agg(F.min(one).alias("head"), F.max(one).alias("last"), F.count("*").alias("rows")).where("head <> last").drop("last")
+    gone = join_groups(found, store(heads, "group-heads"), ["component"], "rows", found.count()).where(one != F.col("head"))
+    names = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_version")
+    gone = few(store(gone.select(F.col("doc_id").alias(names[0]), F.col("version").alias(names[1])).distinct(), "near-copies"))
+    return docs.join(gone, (docs[doc_id] == gone[names[0]]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == gone[names[1]]), "left_anti")

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.bpe import slices
-from pixelloom.llm.common import small_batches, turn_to
+from pixelloom.llm.common import others, slices, turn_to
 
 #: Rows of the embedding table, its width, and the subword lengths in characters (a word's border counts as one).
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 16, (2, 3, 4)
@@ -28,10 +27,9 @@ SHORTEST = 12
 #: Subwords of the shortest texts (some 30 letters) that the class of no language can reject, and how much likelier it must be.
 FEWEST, ODDS = 80, 3.0
 #: A text is rejected if its best probability is below the level that this share of the held-back, rightly recognised training texts exceeds.
-#: The level is never above MOST_LEAST: a text with a language that is so likely is kept.
-KEEP_SHARE, MOST_LEAST = 0.9995, 0.4
+KEEP_SHARE = 0.9995
 UNKNOWN = "und"
-BATCH_CHARS = 1 << 19
+BATCH_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -84,7 +82,7 @@ class Model:
         points = [code_points(t or "") for t in texts]
         ends = np.cumsum([len(p) for p in points])
         whole = np.concatenate(points) if points else np.zeros(0, np.uint32)
-        step = 4 * BATCH_CHARS  # a very long text is read in overlapping stretches
+        step = 4 * BATCH_BYTES  # a very long text is read in overlapping stretches
         for a in range(0, len(whole), step):
             stretch = whole[a : a + step + max(LENGTHS) - 1]
             starts, buckets, is_letter = subwords(stretch)
@@ -177,7 +175,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             z[:, k] += move
         q = np.exp(z[:, :k] / heat - (z[:, :k] / heat).max(1, keepdims=True))
         top = (q / q.sum(1, keepdims=True)).max(1)[right]
-        least = float(min(MOST_LEAST, np.quantile(top, 1 - KEEP_SHARE))) if len(top) else MOST_LEAST
+        least = float(np.quantile(top, 1 - KEEP_SHARE)) if len(top) else 0.0
     return Model(languages, table, bias, heat, least)
 
 
@@ -196,24 +194,25 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
-def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df without its column text, plus lang_pred (string), lang_score (double, 0 to 1) and rejected (boolean).
+def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "rejected")) -> DataFrame:
+    """df without its column text, plus lang_pred (string), lang_score (double, 0 to 1) and rejected (boolean), or as names calls them.
 
-    Null texts and texts without a letter: und, 0, rejected. Ties go to the language first in order. Columns of these names are replaced;
-    repeated rows and empty tables need no care; whole texts are read, in stretches. Nothing is shuffled; the model goes along with the tasks.
+    Null texts and texts without a letter: und, 0, rejected. So are all texts if the model has no language. Ties go to the language first in order.
+    Columns of these names, in any case, are replaced; repeated rows and empty tables need no care; whole texts are read, in stretches.
+    Nothing is shuffled; the model goes along with the tasks.
     """
-    small_batches(df.sparkSession)
-    added = ("lang_pred", "lang_score", "rejected")
-    keep = [c for c in df.columns if c not in (text, *added)]
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double").add("rejected", "boolean")
+    keep = others(df, [text, *names])
+    schema = df.select(*keep).schema
+    for name, kind in zip(names, ("string", "double", "boolean")):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("language_id")
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for a, b in slices(texts, BATCH_CHARS):
-                pred, score, rejected = model.predict(texts[a:b])
+            texts = batch.column(len(keep))
+            for a, b in slices(texts, BATCH_BYTES):
+                pred, score, rejected = model.predict(texts.slice(a, b - a).to_pylist())
                 columns = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + columns, names=[*keep, *added])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + columns, names=[*keep, *names])
 
     return df.select(*keep, text).mapInArrow(run, schema)

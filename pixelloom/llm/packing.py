@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.bpe import model, slices
-from pixelloom.llm.common import small_batches, store
+from pixelloom.llm.bpe import OUT_BYTES, model
+from pixelloom.llm.common import slices, store
 
 #: Pieces to a bucket of the numbering, about.
 BUCKET_PIECES = 20_000
@@ -27,17 +27,16 @@ PLAN_SCHEMA = "length int, rank_from long, rank_to long, bin_from long, per long
 
 def pieces(docs: DataFrame, path: str, tokens: int, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of at most tokens ids: key, piece, start, length, ids_crc32. A document's ids are those of its text, then end_id; null text: end_id."""
-    small_batches(docs.sparkSession)
     schema = docs.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end, step = model(path), end_id.to_bytes(4, "little"), 4 * tokens
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            texts = batch.column(1)
+            for a, b in slices(texts, OUT_BYTES):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i in range(a, b):
-                    ids = bpe.encode(texts[i]) + end
+                for i, t in enumerate(texts.slice(a, b - a).to_pylist(), a):
+                    ids = bpe.encode(t) + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         row.append(i)

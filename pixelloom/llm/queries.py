@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, exact_dedup, jaccard_join, language_id, packing, quality, sharding, token_counts, topk, url_filter
+from pixelloom.llm.common import store
 
 #: (entry, action) of op3; fixed by its contract.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -138,13 +139,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts before and after three edits of every document: its first word goes, a remark comes in at the middle, a line is added."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.coalesce(F.length("text"), F.lit(0))
-    first = F.length(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\S*", 0))
+    """Counts before and after three edits of every document: its first word goes, a remark comes in at the middle, a line is added.
+
+    The trees of all documents are planted and stored first; the counts go on from them, so only the edits are encoded then."""
+    docs = token_counts.plant(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    docs = store(docs, "token-trees")
+    n = F.length("text")
+    first = F.length(F.regexp_extract("text", r"^\S*", 0))
     edit = lambda at, remove, insert: F.struct(at.cast("int").alias("at"), remove.cast("int").alias("remove"), F.lit(insert).alias("insert"))
     edits = F.array(edit(F.lit(0), first, ""), edit(F.floor(n / 2), F.lit(0), "[see note]"), edit(n, F.lit(0), "\nEnd of text."))
-    return token_counts.count(docs.withColumn("edits", edits), tokenizer_path(), edits="edits")
+    return token_counts.count(docs.withColumn("edits", edits), tokenizer_path(), edits="edits", tree="tree")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -24,7 +24,8 @@ def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "tex
     shard is the prefix of the key's hash, depth bits as a string of 0 and 1: the shortest for which the rows that share it have at most
     max_bytes bytes of UTF-8 text, or are one row. All prefixes together are the directory; a bucket splits on one more bit only if it is
     too large. A row that is larger than max_bytes by itself has a shard for itself and fits is false. Rows with equal keys (a hot key too)
-    stay together while they fit, beyond that a hash of their place splits them, evenly. Null texts have 0 bytes, null keys hash as empty.
+    stay together while they fit, beyond that a hash of their place splits them, evenly; rows that agree in all bits of both hashes stay together
+    and, if too large, don't fit. Null texts have 0 bytes, null keys hash as empty.
     Empty tables give no rows; other columns play no part.
 
     Bytes are summed by prefix before they are shuffled, at the depth that one round looks ahead; only rows of cells that are too large even
@@ -57,11 +58,14 @@ def shard(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "tex
             found.select("key", "n_bytes", d.cast("int").alias("depth"), F.when(d == 0, F.lit("")).otherwise(bits).alias("shard"), F.col("best.shard_bytes").alias("shard_bytes"))
         )
         rest = placed.where("best is null").select("key", "n_bytes", "h0", "h1")
-        if last or directory.count() == 0 and total == 0:
-            break
         rows = store(rest, "shard-rest")
         if rows.isEmpty():
             break
+        if last:  # rows that agree in all bits of both hashes can't be split further
+            sums = rows.groupBy("h0", "h1").agg(F.sum("n_bytes").alias("shard_bytes"))
+            whole = F.concat(*[F.lpad(F.bin(h), BITS, "0") for h in ("h0", "h1")])
+            done.append(rows.join(sums, ["h0", "h1"]).select("key", "n_bytes", F.lit(2 * BITS).cast("int").alias("depth"), whole.alias("shard"), "shard_bytes"))
+            break
         depth, ahead = depth + ahead, 12
     out = done[0]
     for x in done[1:]:

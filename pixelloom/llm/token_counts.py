@@ -1,15 +1,21 @@
-"""Token counts that follow edits: a segment tree over each document's stretches of text; an edit re-encodes only what it touches."""
+"""Token counts that follow edits: a segment tree over each document's stretches of text; an edit re-encodes only what it touches.
+
+A tree is kept beside its text as two arrays, the characters and the tokens of each leaf: plant() makes them, edit() and count() go on from them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pixelloom.llm.bpe import Bpe, model, slices
-from pixelloom.llm.common import small_batches
+from pixelloom.llm.bpe import OUT_BYTES, Bpe, model
+from pixelloom.llm.common import free_name, others, slices
 
 #: Characters of a leaf before it ends at the next white space. No token reaches over white space, so leaves are counted one by one.
 LEAF_CHARS = 256
@@ -17,14 +23,25 @@ LEAF = regex.compile(r"(?s).{%d}\P{White_Space}*\p{White_Space}*|.+" % LEAF_CHAR
 SPACE = regex.compile(r"\p{White_Space}")
 
 EDITS = "array<struct<at:int,remove:int,insert:string>>"
+TREE = "struct<chars:array<int>,tokens:array<int>>"
 
 
 class TokenTree:
     """Sums of characters and tokens over the leaves of one text. Every leaf but the last with text ends in white space."""
 
-    def __init__(self, text: str, bpe: Bpe):
+    def __init__(self, text: str, bpe: Bpe, kept: dict | None = None):
+        """kept: chars and tokens of the leaves, from a tree of this text; one that isn't of a text of this length is planted anew."""
         self.bpe, self.encoded_chars = bpe, 0
-        self._plant(LEAF.findall(text), None)
+        if kept is not None and kept["chars"] and sum(kept["chars"]) == len(text) and len(kept["chars"]) == len(kept["tokens"]):
+            ends = list(accumulate(kept["chars"]))
+            self._plant([text[a:b] for a, b in zip([0, *ends], ends)], kept["tokens"])
+        else:
+            self._plant(LEAF.findall(text), None)
+
+    def kept(self) -> dict:
+        """What the tree can be made from again, beside its text. Leaves without text are left out."""
+        n = [(len(s), self.tokens[self.size + i]) for i, s in enumerate(self.leaves) if s]
+        return {"chars": [c for c, _ in n], "tokens": [t for _, t in n]}
 
     def _count(self, s: str) -> int:
         self.encoded_chars += len(s)
@@ -37,7 +54,7 @@ class TokenTree:
             size *= 2
         self.size, self.chars, self.tokens = size, [0] * (2 * size), [0] * (2 * size)
         for i, s in enumerate(self.leaves):
-            self.chars[size + i], self.tokens[size + i] = len(s), self._count(s) if counts is None else counts[i]
+            self.chars[size + i], self.tokens[size + i] = len(s), self._count(s) if counts is None else counts[i] if s else 0
         for i in range(size - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
@@ -85,36 +102,76 @@ class TokenTree:
             self._plant(self.leaves[:first] + parts + self.leaves[last + 1 :], counts[:first] + [self._count(s) for s in parts] + counts[last + 1 :])
 
 
-def count(df: DataFrame, path: str, text: str = "text", edits: str | None = None) -> DataFrame:
-    """df without its columns text and edits, plus n_tokens, n_tokens_after, n_leaves, first_chars, edit_chars (long).
+def _mapped(df: DataFrame, path: str, text: str, edits: str | None, tree: str | None, added: dict[str, str], of) -> DataFrame:
+    """df without text, edits, tree and columns named as the added ones, plus these: of(text, edits, tree kept before, encoder)."""
+    keep = others(df, [text, edits, tree, *added])
+    schema = df.select(*keep).schema
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    types = to_arrow_schema(schema).types[len(keep) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, n = model(path), len(keep)
+        for batch in batches:
+            for a, b in slices(batch.column(n), OUT_BYTES):
+                part = batch.slice(a, b - a)
+                columns = zip(*(part.column(n + k).to_pylist() for k in range(3)))
+                rows = [of(t or "", [e for e in changes or [] if e is not None], before, bpe) for t, changes, before in columns]
+                made = [pa.array(c, kind) for c, kind in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + made, names=[*keep, *added])
+
+    given = [F.col(c) if c else F.lit(None).cast(kind) for c, kind in ((text, "string"), (edits, EDITS), (tree, TREE))]
+    names = free_names(keep, 3)
+    return df.select(*keep, *[c.alias(n) for c, n in zip(given, names)]).mapInArrow(run, schema)
+
+
+def free_names(names: list[str], n: int) -> list[str]:
+    out: list[str] = []
+    for k in range(n):
+        out.append(free_name([*names, *out], f"given{k}"))
+    return out
+
+
+def _edited(text: str, edits: list[dict], kept: dict | None, bpe: Bpe) -> tuple[TokenTree, int, int]:
+    tree = TokenTree(text, bpe, kept)
+    before, first = tree.n_tokens, tree.encoded_chars
+    for e in edits:
+        tree.edit(e["at"], e["remove"], e["insert"])
+    return tree, before, first
+
+
+def plant(df: DataFrame, path: str, text: str = "text", tree: str = "tree") -> DataFrame:
+    """df with text (null: empty) and its tree (TREE) beside it. A column named as the tree, in any case, is replaced; otherwise as count()."""
+
+    def of(t: str, edits: list, before: dict | None, bpe: Bpe) -> tuple:
+        return t, TokenTree(t, bpe).kept()
+
+    return _mapped(df, path, text, None, None, {text: "string", tree: TREE}, of)
+
+
+def edit(df: DataFrame, path: str, edits: str, text: str = "text", tree: str = "tree") -> DataFrame:
+    """df without edits, with text and tree as the edits leave them, plus n_tokens and encoded_chars (long). Only what the edits touch, with the
+    context up to white space, is encoded. Otherwise as count()."""
+
+    def of(t: str, changes: list, before: dict | None, bpe: Bpe) -> tuple:
+        made, _, first = _edited(t, changes, before, bpe)
+        return made.text(), made.kept(), made.n_tokens, made.encoded_chars
+
+    return _mapped(df, path, text, edits, tree, {text: "string", tree: TREE, "n_tokens": "long", "encoded_chars": "long"}, of)
+
+
+def count(df: DataFrame, path: str, text: str = "text", edits: str | None = None, tree: str | None = None) -> DataFrame:
+    """df without its columns text, edits and tree, plus n_tokens, n_tokens_after, n_leaves, first_chars, edit_chars (long).
 
     n_tokens counts the tokens of the whole text as bpe.encode() makes them; n_tokens_after counts those after the edits of the column edits
     (array of {at, remove, insert}, in order, each on the text that the one before left). first_chars and edit_chars are the characters
-    encoded for the first count and for all edits. A null text is empty, null edits are none, null fields of an edit are 0 or empty.
-    Columns named like the result's are replaced; repeated rows and empty tables need no care. Nothing is shuffled.
+    encoded for the first count and for all edits; with a tree of the text the first count encodes nothing. A null text is empty, null edits are
+    none, null fields of an edit are 0 or empty, a null tree is planted. Columns named like the result's, in any case, are replaced; repeated rows
+    and empty tables need no care; a text of any length is read whole. Nothing is shuffled.
     """
-    small_batches(df.sparkSession)
-    added = ["n_tokens", "n_tokens_after", "n_leaves", "first_chars", "edit_chars"]
-    keep = [c for c in df.columns if c not in (text, edits, *added)]
-    schema = df.select(*keep).schema
-    for name in added:
-        schema = schema.add(name, "long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path)
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            changes = batch.column(len(keep) + 1).to_pylist() if edits else [None] * len(texts)
-            for a, b in slices(texts):
-                rows = []
-                for t, change in zip(texts[a:b], changes[a:b]):
-                    tree = TokenTree(t or "", bpe)
-                    before, first = tree.n_tokens, tree.encoded_chars
-                    for e in change or []:
-                        if e is not None:
-                            tree.edit(e["at"], e["remove"], e["insert"])
-                    rows.append((before, tree.n_tokens, len(tree.leaves), first, tree.encoded_chars - first))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + columns, names=[*keep, *added])
-
-    return df.select(*keep, text, *([edits] if edits else [])).mapInArrow(run, schema)
+    def of(t: str, changes: list, before: dict | None, bpe: Bpe) -> tuple:
+        made, n, first = _edited(t, changes, before, bpe)
+        return n, made.n_tokens, len(made.leaves), first, made.encoded_chars - first
+
+    return _mapped(df, path, text, edits, tree, dict.fromkeys(["n_tokens", "n_tokens_after", "n_leaves", "first_chars", "edit_chars"], "long"), of)

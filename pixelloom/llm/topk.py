@@ -133,7 +133,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                 )
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     met = blocks.join(questions, ["q_block", "salt", "dim"]).drop("q_block", "salt")
     best = met.mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import free_name, join_groups, others, store
+
 #: Bits of the Bloom filter for each listed key (false positives: about 0.2 %), and words of 32 bits in a block: each key sets a bit in each word.
 BITS_PER_KEY, WORDS = 16, 8
 #: Largest filter to broadcast; a larger one is joined by a shuffle on the block.
 BROADCAST_BYTES = 32 << 20
+#: Bytes that a row of a broadcast table takes beside its strings, about.
+ROW_BYTES = 64
 
 
 def host_of(url: Column) -> Column:
@@ -58,17 +62,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
 
     A rule fits its host and all subdomains if the url's path starts with the rule's path. Of the rules that fit, the one with the longest
     host + path wins (then the longer host). No rule: null, and verdict default. Null urls and urls without :// have empty host and path, and
-    no rule fits. Repeated pages are each judged; any other columns are kept as they are, and those named as a result's are replaced. Empty
-    tables of pages or rules are fine.
+    no rule fits. Repeated pages are each judged; any other columns are kept as they are, and those named as a result's, in any case, are
+    replaced (the url's own too, if it has such a name). Very long urls are read whole. Empty tables of pages or rules are fine.
 
     Each distinct (host, path) yields keys (suffix of the host, directory of the path), no longer than the longest listed. The Bloom filter
     drops nearly all keys that are not listed, the hash join on the key the rest; then the path's beginning is compared.
     """
     listed = _keyed(rules)
-    n, labels, depth = listed.agg(
-        F.count("*"), F.max(F.size(F.split("r_host", r"\."))), F.max(F.length("r_dir") - F.length(F.replace("r_dir", F.lit("/"))))
+    n, labels, depth, size = listed.agg(
+        F.count("*"), F.max(F.size(F.split("r_host", r"\."))), F.max(F.length("r_dir") - F.length(F.replace("r_dir", F.lit("/")))), F.sum(2 * F.octet_length("entry") + ROW_BYTES)
     ).first()
-    read = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    keep = others(pages, ["host", "path", "rule", "verdict"])
+    address = free_name(keep, "address")
+    read = pages.withColumn(address, F.col(url)).select(*keep, host_of(F.col(address)).alias("host"), path_of(F.col(address)).alias("path"))
     if not n:
         return read.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     blocks = max(1, -(-n * BITS_PER_KEY // (32 * WORDS)))
@@ -93,7 +99,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     possible = asked.join(words, "block")
     for bit in set_bits:
         possible = possible.where(bit)
+    if size <= BROADCAST_BYTES:
+        listed = F.broadcast(listed)
     hits = possible.join(listed, (F.col("suffix") == F.col("r_host")) & (F.col("dir") == F.col("r_dir"))).where(F.startswith("path", "r_path"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("entry").alias("len"), F.length("r_host").alias("host_len"), "entry", "action")).alias("best"))
-    best = best.select("host", "path", F.col("best.entry").alias("rule"), F.col("best.action").alias("verdict"))
-    return read.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    best = store(best.select("host", "path", F.col("best.entry").alias("rule"), F.col("best.action").alias("verdict")), "url-verdicts")
+    size = best.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.octet_length("rule") + ROW_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = read.join(F.broadcast(best), ["host", "path"], "left")
+    else:  # an address that very many pages have isn't brought to one task; pages without host stay where they are
+        rows = free_name(read.columns, "rows")
+        counts = read.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias(rows))
+        counted = store(best.join(counts, ["host", "path"]), "url-counts")
+        found = join_groups(read.where("host <> ''"), counted, ["host", "path"], rows, read.count(), "left").drop(rows)
+        found = found.unionByName(read.where("host = ''").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string")))
+    return found.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
