@@ -13,57 +13,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import exact_dedup, jaccard_join, language_id, packing, quality
-from pixelloom.llm.common import shared_dir, small_batches
+from pixelloom.llm.common import free_name, remove, scratch, shared_dir
 from pixelloom.llm.queries import table, tokenizer_path
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs' columns of the rows that a classifier, given all columns and a copy of the text, doesn't reject."""
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+def _judged(docs: DataFrame, judge, *names: str) -> DataFrame:
+    """The rows of docs, all columns, that a classifier doesn't reject. It gets a copy of the text, as it takes the text away; its columns have
+    names that docs hasn't, so columns of documents are never replaced."""
+    copy, *own = (free_name(docs.columns, n) for n in ("text_read", *names))
+    return judge(docs.withColumn(copy, F.col("text")), copy, tuple(own)).where(~F.col(own[-1])).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; learnt from the lang of a bounded sample of the stage's input."""
-    small_batches(spark)
+    """Documents whose language is recognised; learnt from the lang of a bounded sample of the stage's input. If no row has text and lang, nothing
+    can be learnt and all rows stay."""
     model = language_id.train(docs)
-    return _kept(docs, language_id.identify(docs.withColumn("__text", F.col("text")), model, text="__text"))
+    return _judged(docs, lambda df, text, names: language_id.identify(df, model, text, names), "lang_pred", "lang_score", "rejected") if model.languages else docs
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score isn't below the threshold; learnt from a bounded sample of the documents that labels covers."""
-    small_batches(spark)
+    """Documents whose quality score isn't below the threshold; learnt from a bounded sample of the documents that labels covers. If no label or
+    only labels of one kind cover documents, all rows stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, quality.score(docs.withColumn("__text", F.col("text")), model, text="__text"))
+    return _judged(docs, lambda df, text, names: quality.score(df, model, text, names), "quality_score", "rejected") if model.weights.any() else docs
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the largest doc_id, of those whose texts are equal after lower-casing A-Z."""
+    """One document, that with the largest doc_id, of those whose texts are equal after lower-casing A-Z; null texts are empty ones."""
     return exact_dedup.dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group connected by a Jaccard similarity of 0.8 or more of five-word shingles."""
-    small_batches(spark)
+    """One document, that with the least doc_id, of each group connected by a Jaccard similarity of 0.8 or more of five-word shingles. Documents
+    without words, and rows without doc_id, stay."""
     return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes among sequences of 4096 tokens."""
-    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path(), tokens=4096)
 
 
 STAGES = [("language_id", language), ("quality", good_quality), ("exact_dedup", exact), ("jaccard_join", near), ("packing", packed)]
 
-#: SQL can't express the classifiers and the tokenizer; tests compare each stage with a plain version.
+#: SQL can't express the classifiers and the tokenizer; tests/llm/test_llm_queries.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; each result is written to the shared folder and read again. What a stage stored on the way goes when its result is
+    written, and that result when the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(at), at
     return docs
