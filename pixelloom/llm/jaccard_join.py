@@ -32,7 +32,7 @@ FREQUENT, RARE = 1 << 20, 8
 #: Largest m, and the cost of verifying a candidate in units of reading an entry of the index.
 MOST_MATCHES, VERIFY = 4, 4.0
 #: Shingles that a task counts before it hands on their sum, and ids of candidates up to which they are broadcast.
-FLUSH, BROADCAST_IDS = 2 << 20, 1_000_000
+FLUSH, BROADCAST_IDS = 4 << 20, 1_000_000
 STRETCH = 1 << 20
 #: Documents with a prefix shingle beyond which they are dealt over blocks.
 SHARED = 1024
@@ -113,23 +113,54 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles (64 bits, signed) and document frequencies of the most frequent ones: all that are as frequent as a level, which is chosen
-    so that there are no more than FREQUENT. All documents are counted: a task sums its shingles, a shuffle the tasks' sums."""
+def _pack_cells(cells: np.ndarray, width: int, bits: int) -> list[tuple[int, bytes]]:
+    """How often each cell occurs, by the cells' first bits: differences of the sorted cells, in as few bytes as these need, and numbers up to
+    255 (a cell that occurs more often comes again)."""
+    cells, n = np.unique(cells, return_counts=True)
+    again = -(-n // 255)
+    cells, n = np.repeat(cells, again), np.minimum(np.repeat(n, again) - 255 * (np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)), 255).astype(np.uint8)
+    out, cut = [], np.searchsorted(cells, np.arange(1, 1 << bits, dtype=np.int64) << (width - bits)).tolist()
+    for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(cells)])):
+        if a < b:
+            d = np.diff(cells[a:b], prepend=i << (width - bits))
+            size = 2 if d.max() < 1 << 16 else 4 if d.max() < 1 << 32 else 8
+            out.append((i, b"%d" % size + d.astype(f"<u{size}").tobytes() + n[a:b].tobytes()))
+    return out
+
+
+def _unpack_cells(part: int, packed: bytes, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    size = int(packed[:1])
+    k = (len(packed) - 1) // (size + 1)
+    cells = (part << (width - bits)) + np.cumsum(np.frombuffer(packed, f"<u{size}", k, 1), dtype=np.int64)
+    return cells, np.frombuffer(packed, np.uint8, k, 1 + size * k).astype(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The width of a cell in bits, and the sorted cells (first bits of shingles) and document frequencies of the most frequent shingles: all that
+    are as frequent as a level, which is chosen so that there are no more than FREQUENT.
+
+    All documents are counted, in cells of which there are 64 or more to a shingle. A task sums its cells and hands them on packed, by ranges; a
+    range's sums are then merged as they come, in the order of ranges, so that a task holds the different cells of one range at most.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(18, max(6, (2 * parts).bit_length()))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = min(56, max(32, (size // 4).bit_length() + 6))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shingle", "df"])
+            packed = _pack_cells(np.concatenate(held), width, bits)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())], names=["part", "cells"])
 
         for batch in batches:
             texts = batch.column(0)
             for a, b in slices(texts, STRETCH):
                 for s in shingle_sets(texts.slice(a, b - a).to_pylist(), words):
-                    held.append(s)
+                    held.append((s >> np.uint64(64 - width)).astype(np.int64))
                     n += len(s)
                 if n >= FLUSH:
                     yield flush()
@@ -137,7 +168,37 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         if n:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(tally, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= RARE)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("jaccard")
+        at, held, n = None, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            cells, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(cells, kind="stable")
+            cells, counts = cells[order], counts[order]
+            first = np.flatnonzero(np.diff(cells, prepend=-1))
+            return cells[first], np.add.reduceat(counts, first)
+
+        def done() -> pa.RecordBatch:
+            cells, counts = merged()
+            some = counts >= RARE
+            return pa.RecordBatch.from_arrays([pa.array(cells[some]), pa.array(counts[some])], names=["cell", "df"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if part != at and held:
+                    yield done()
+                    held, n = [], 0
+                at = part
+                held.append(_unpack_cells(part, packed.as_py(), width, bits))
+                n += len(held[-1][0])
+                if n > FLUSH:
+                    held = [merged()]
+                    n = 0
+        if held:
+            yield done()
+
+    counted = docs.select("text").mapInArrow(tally, "part int, cells binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "cell long, df long")
     counted = store(counted.withColumn("level", F.floor(F.log2("df") * 8).cast("int")), "frequent")
     levels = sorted(counted.groupBy("level").count().collect(), reverse=True)  # some 8 for each doubling of the number of documents
     total, least = 0, 1 << 30
@@ -146,8 +207,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         if total > FREQUENT:
             break
         least = level
-    rows = counted.where(F.col("level") >= least).select("shingle", "df").toPandas().sort_values("shingle")
-    return rows["shingle"].to_numpy(np.int64), rows["df"].to_numpy(np.int64)
+    rows = counted.where(F.col("level") >= least).select("cell", "df").toPandas().sort_values("cell")
+    return width, rows["cell"].to_numpy(np.int64), rows["df"].to_numpy(np.int64)
 
 
 def prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -167,7 +228,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
-        shingles, dfs = table.value
+        width, cells, dfs = table.value
         for batch in batches:
             texts = batch.column(2)
             for a, b in slices(texts, STRETCH):
@@ -180,10 +241,10 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         tokens.append(np.zeros(0, np.int64))
                         continue
                     df = np.zeros(len(s), np.int64)
-                    if len(shingles):
-                        c = s.view(np.int64)
-                        at = np.minimum(np.searchsorted(shingles, c), len(shingles) - 1)
-                        df = np.where(shingles[at] == c, dfs[at], 0)
+                    if len(cells):
+                        c = (s >> np.uint64(64 - width)).astype(np.int64)
+                        at = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
+                        df = np.where(cells[at] == c, dfs[at], 0)
                     chosen, m = prefix(s, df, percent)
                     ms.append(m)
                     tokens.append(s[chosen].view(np.int64))
