@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import components, free_name, holds, join_groups, slices, store, turn_to
 
-#: Most entries in the table of frequent shingles, which every task gets (16 bytes each); shingles rarer than RARE are never in it.
-FREQUENT, RARE = 1 << 20, 8
+#: Most entries in the table of frequent shingles, which every task gets (12 bytes each); shingles rarer than RARE are never in it.
+FREQUENT, RARE = 1 << 19, 8
 #: Largest m, and the cost of verifying a candidate in units of reading an entry of the index.
 MOST_MATCHES, VERIFY = 4, 4.0
 #: Shingles that a task counts before it hands on their sum, and ids of candidates up to which they are broadcast.
@@ -207,8 +207,10 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
         if total > FREQUENT:
             break
         least = level
-    rows = counted.where(F.col("level") >= least).select("cell", "df").toPandas().sort_values("cell")
-    return width, rows["cell"].to_numpy(np.int64), rows["df"].to_numpy(np.int64)
+    rows = counted.where(F.col("level") >= least).select("cell", F.least("df", F.lit((1 << 31) - 1)).cast("int").alias("df")).toArrow()
+    cells = rows.column("cell").to_numpy()
+    order = np.argsort(cells)
+    return width, cells[order], rows.column("df").to_numpy()[order]
 
 
 def prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -224,7 +226,9 @@ def prefix(s: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, int
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, version, n (size of the set), sig (16 bytes that stand for the set), m, tokens (the prefix in order)."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))  # FREQUENT entries at most
+    frequent = frequent_shingles(docs, words)
+    table = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries at most
+    del frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
@@ -244,7 +248,7 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(cells):
                         c = (s >> np.uint64(64 - width)).astype(np.int64)
                         at = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
-                        df = np.where(cells[at] == c, dfs[at], 0)
+                        df = np.where(cells[at] == c, dfs[at].astype(np.int64), 0)
                     chosen, m = prefix(s, df, percent)
                     ms.append(m)
                     tokens.append(s[chosen].view(np.int64))
