@@ -32,7 +32,7 @@ FREQUENT, RARE = 1 << 19, 8
 #: Largest m, and the cost of verifying a candidate in units of reading an entry of the index.
 MOST_MATCHES, VERIFY = 4, 4.0
 #: Shingles that a task counts before it hands on their sum, and ids of candidates up to which they are broadcast.
-FLUSH, BROADCAST_IDS = 4 << 20, 1_000_000
+FLUSH, BROADCAST_IDS = 1 << 20, 1_000_000
 STRETCH = 1 << 20
 #: Documents with a prefix shingle beyond which they are dealt over blocks.
 SHARED = 1024
@@ -170,7 +170,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
-        at, held, n = None, [], 0
+        at, held, n, most = None, [], 0, FLUSH
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             cells, counts = (np.concatenate(x) for x in zip(*held))
@@ -188,13 +188,13 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if part != at and held:
                     yield done()
-                    held, n = [], 0
+                    held, n, most = [], 0, FLUSH
                 at = part
                 held.append(_unpack_cells(part, packed.as_py(), width, bits))
                 n += len(held[-1][0])
-                if n > FLUSH:
+                if n > most:
                     held = [merged()]
-                    n = 0
+                    n, most = 0, max(FLUSH, len(held[0][0]))
         if held:
             yield done()
 
