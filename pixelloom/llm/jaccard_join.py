@@ -139,14 +139,14 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[int, np.ndarray, np.
     """The width of a cell in bits, and the sorted cells (first bits of shingles) and document frequencies of the most frequent shingles: all that
     are as frequent as a level, which is chosen so that there are no more than FREQUENT.
 
-    All documents are counted, in cells of which there are 64 or more to a shingle. A task sums its cells and hands them on packed, by ranges; a
+    All documents are counted, in cells of which there are 16 or more to a shingle. A task sums its cells and hands them on packed, by ranges; a
     range's sums are then merged as they come, in the order of ranges, so that a task holds the different cells of one range at most.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(18, max(6, (2 * parts).bit_length()))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = min(56, max(32, (size // 4).bit_length() + 6))
+    width = min(56, max(32, (size // 4).bit_length() + 4))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("jaccard")
