@@ -28,7 +28,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
 #: Bytes of text to an output batch, and words in a cache generation (two generations are held).
-OUT_BYTES, CACHE_WORDS = 4 << 20, 400_000
+OUT_BYTES, CACHE_WORDS = 4 << 20, 300_000
 MARK = "\n"  # stands for the word end; never a byte's character
 NONE = -1
 #: Characters of a short word, and how many prefixes of short words are kept.
