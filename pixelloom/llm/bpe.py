@@ -28,11 +28,13 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
 #: Bytes of text to an output batch, and words in a cache generation (two generations are held).
-OUT_BYTES, CACHE_WORDS = 4 << 20, 300_000
+OUT_BYTES, CACHE_WORDS = 4 << 20, 150_000
 MARK = "\n"  # stands for the word end; never a byte's character
 NONE = -1
+#: Pairs of tokens whose test is kept.
+PAIRS = 200_000
 #: Characters of a short word, and how many prefixes of short words are kept.
-SHORT, PREFIXES = 48, 250_000
+SHORT, PREFIXES = 48, 100_000
 
 
 def byte_characters() -> list[str]:
@@ -221,7 +223,7 @@ class Bpe:
         return answer
 
     def _fit(self, pair: int, before: int, token: int) -> bool:
-        if len(self.fits) > 500_000:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         ok = self.fits[pair] = self.compatible(before, token)
         return ok
@@ -275,13 +277,17 @@ class Seen(dict):
 
 
 @lru_cache(maxsize=2)
+def _model(path: str) -> Bpe:
+    return Bpe(path)
+
+
 def model(path: str) -> Bpe:
-    """One model for each worker process and file."""
+    """One model for each worker process and file; asked for at a task's start."""
     turn_to("bpe")
-    return Bpe(path)
+    return _model(path)
 
 
-holds("bpe", model.cache_clear)
+holds("bpe", _model.cache_clear)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +21,8 @@ MOST_ROUNDS = 100
 
 #: What each operator holds in a worker process from task to task, as functions that let go of it.
 _HELD: dict[str, list[Callable[[], None]]] = {}
+#: The operator that this process works for.
+_TURN = [""]
 #: Folder, beneath the shared one, that stored tables go to now; see scratch().
 _SCRATCH: list[str] = []
 
@@ -28,11 +32,20 @@ def holds(owner: str, release: Callable[[], None]) -> None:
 
 
 def turn_to(owner: str) -> None:
-    """Called at a task's start: worker processes are used again, so what other operators hold there is let go."""
+    """Called at a task's start: worker processes are used again, so what other operators hold there is let go, and given back to the system."""
+    if _TURN[0] == owner:
+        return
+    _TURN[0] = owner
     for other, releases in _HELD.items():
         if other != owner:
             for release in releases:
                 release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ SHORTEST = 12
 #: Subwords of the shortest texts (some 30 letters) that the class of no language can reject, and how much likelier it must be.
 FEWEST, ODDS = 80, 3.0
 #: A text is rejected if its best probability is below the level that this share of the held-back, rightly recognised training texts exceeds.
-KEEP_SHARE = 0.9995
+KEEP_SHARE = 0.9999
 UNKNOWN = "und"
 BATCH_BYTES = 1 << 19
 

@@ -105,9 +105,7 @@ class TokenTree:
 def _mapped(df: DataFrame, path: str, text: str, edits: str | None, tree: str | None, added: dict[str, str], of) -> DataFrame:
     """df without text, edits, tree and columns named as the added ones, plus these: of(text, edits, tree kept before, encoder)."""
     keep = others(df, [text, edits, tree, *added])
-    schema = df.select(*keep).schema
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = df.select(*keep, *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()]).schema
     types = to_arrow_schema(schema).types[len(keep) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
