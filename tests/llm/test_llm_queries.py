@@ -197,7 +197,7 @@ def test_packing_under_all_capacities(spark):
                 held[r["sequence_id"]].append(r["length"])
             most, cost = max(map(len, held.values())), max(sum(n * n for n in v) for v in held.values() if len(v) > 1)
             assert sum(map(len, held.values())) == 150
-            assert (most == 5 and cost <= 20_000) if documents else (most > 5 and cost > 20_000)
+            assert (most <= 5 and cost <= 20_000) if documents else (most > 5), (rule, most, cost)
 
 
 def test_exact_dedup_again_with_the_same_batch(spark):
