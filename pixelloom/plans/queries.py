@@ -53,14 +53,15 @@ def sql_grid(w: int, h: int) -> str:
 
 
 def summed(rows: DataFrame, values: list[str]) -> DataFrame:
-    """For each document the number of rows, and of each value the sum and the sum weighted by place (tile, y, x): equal only if all values are."""
-    place = (F.col("tile") % 251 * 131 + F.col("y") * 67 + F.col("x") + 1).cast("long")
+    """For each document the number of rows, and of each value the sum and the sum weighted by place (tile, y, x). No two places have one weight, so
+    two values that change places always show; other differences can in principle cancel out."""
+    place = F.col("tile").cast("long") * 65536 + F.col("y") * 1024 + F.col("x") + 1
     sums = [x for v in values for x in (F.sum(F.col(v).cast("long")).alias(v), F.sum(F.col(v).cast("long") * place).alias(f"{v}_placed"))]
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), *sums)
 
 
 def sql_summed(source: str, values: list[str]) -> str:
-    sums = ", ".join(f"sum({v})::BIGINT AS {v}, sum({v}::BIGINT * (tile % 251 * 131 + y * 67 + x + 1))::BIGINT AS {v}_placed" for v in values)
+    sums = ", ".join(f"sum({v})::BIGINT AS {v}, sum({v}::BIGINT * (tile::BIGINT * 65536 + y * 1024 + x + 1))::BIGINT AS {v}_placed" for v in values)
     return f"SELECT doc_id, count(*) AS n, {sums} FROM ({source}) GROUP BY doc_id"
 
 
