@@ -2,8 +2,8 @@
 
 Shingles have one order for all documents, rare ones first. Of two sets that are similar enough, the prefixes of length n - need + m share at
 least m shingles, for any m. Each document takes the m for which its prefix is estimated to cost least: where a prefix holds frequent
-shingles a longer one, with more of them to be shared, leaves fewer candidates. A pair must share the smaller of its two m;
-round one verifies its pairs without that test, with the same result.
+shingles a longer one, with more of them to be shared, leaves fewer candidates. In either round a pair must share the smaller of its two m
+before it is verified.
 
 Many near copies of one text would make a number of pairs that is the square of theirs. So there are two rounds: in the first, each shingle's
 documents meet only the one among them in whose order it comes first; what is linked then is one component. In the second only documents of
