@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score isn't below the threshold; learnt from a bounded sample of the documents that labels covers. If no label or
-    only labels of one kind cover documents, all rows stay."""
+    """Documents whose quality score isn't below the threshold; learnt from all documents that labels covers. If no label or only labels of one
+    kind cover documents, all rows stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _judged(docs, lambda df, text, names: quality.score(df, model, text, names), "quality_score", "rejected") if model.weights.any() else docs
 

@@ -111,10 +111,11 @@ FROM least WHERE k = 1
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The features of all documents are stored first: the model is learnt from those that labels covers, and all are scored."""
+    docs = store(quality.describe(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-features")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs, labels.where(~held_out(5, 0)))
-    found = quality.score(docs, model)
+    model = quality.learn(docs, labels.where(~held_out(5, 0)))
+    found = quality.score_described(docs, model)
     return found.select(
         "doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
         F.when(F.col("quality_score") >= quality.CUT, 1).otherwise(0).alias("predicted"),

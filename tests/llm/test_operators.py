@@ -258,6 +258,45 @@ def test_quality(spark):
     assert 0 <= quality.score(docs(spark, [(1, "a")]), none).first()["quality_score"] <= 1
 
 
+def test_quality_learns_from_all(spark):
+    """No labelled document, no pair and no long text is left out: the loss over all pairs has no slope left, and the threshold is that of all scores."""
+    rng = random.Random(8)
+    rows = [(i, "" if i % 200 == 0 else " ".join(rng.choice(["stone", "and", "it.", "Was", "%%", "3"][: 4 + (rng.random() < 0.3)]) for _ in range(rng.randint(3, 30))), 1) for i in range(3600)]
+    rows += [(4000 + i, "" if i % 60 == 0 else " ".join(rng.choice(["stone", "and", "%%", "%%", "Was"]) for _ in range(rng.randint(1, 20))), 0) for i in range(600)]
+    rows += [(5000 + i, "stone and it. " * (14_300 + i), i % 2) for i in range(4)]  # beyond 200,000 characters
+    rows += [(7, rows[7][1], 1)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 0), (1, None), (9999, 0)], "doc_id long, quality int")
+    model = quality.train(docs(spark, [r[:2] for r in rows] + [(8888, "no label"), (None, "x")]), labels)
+    x, y = np.array([quality.features(t) for _, t, _ in rows]), np.array([r[2] for r in rows])
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-6, atol=1e-9) and np.allclose(model.scale, x.std(0), rtol=1e-5, atol=2e-6)
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    f = np.hstack([z, z * z])
+    s = f @ model.weights
+    other = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    slope = (other.sum(0) @ f[y == 0] - other.sum(1) @ f[y == 1]) / other.size + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-4 and 0.001 < other.mean() < 0.4
+    values, counts = np.unique(np.round(s, 9), return_counts=True)
+    below, share = np.cumsum(counts)[:-1] / len(s), (y == 0).mean()
+    gaps = np.where(np.abs(below - share) <= 0.01, np.diff(values), 0)
+    assert gaps.max() > 0 and abs(model.threshold - (values[gaps.argmax()] + values[gaps.argmax() + 1]) / 2) < 1e-6
+    here = quality.fit(x, y, (y == 1).mean())
+    assert np.allclose(here.weights, model.weights, atol=1e-4) and abs(here.threshold - model.threshold) < 1e-3
+
+
+@pytest.mark.parametrize("good,bad", [(["a b c"] * 30, ["a b c"] * 10), (["", "a b", "Thr %% %%"] * 5 + ["x"], [""] * 12), (["a b"], ["%"]), (["a b"], []), ([], ["%"])])
+def test_quality_ties(spark, good, bad):
+    """Equal scores around the quantile, few rows, one label: the tables' way and that in memory find the same threshold."""
+    rows = [(i, t, int(i < len(good))) for i, t in enumerate(good + bad)]
+    model = quality.train(docs(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    x, y = np.array([quality.features(t) for _, t, _ in rows]), np.array([r[2] for r in rows])
+    here = quality.fit(x, y, (y == 1).mean())
+    assert np.allclose(here.weights, model.weights, atol=1e-4) and abs(here.threshold - model.threshold) < 1e-3
+    assert ((model.score(x) >= quality.CUT) == (here.score(x) >= quality.CUT)).all()
+    described = quality.describe(docs(spark, [r[:2] for r in rows]))
+    told = sorted(quality.score_described(described, model).select("doc_id", "quality_score", "rejected").collect())
+    assert told == sorted(quality.score(docs(spark, [r[:2] for r in rows]), model).select("doc_id", "quality_score", "rejected").collect())
+
+
 @pytest.mark.parametrize("limit", [10, 200, 100000])
 def test_sharding(spark, limit):
     rng = random.Random(limit)
