@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,8 @@ SPACES = regex.compile(r"\p{White_Space}+")
 #: Bytes of text to an output batch, and words in a cache generation (two generations are held).
 OUT_BYTES, CACHE_WORDS = 4 << 20, 150_000
 MARK = "\n"  # stands for the word end; never a byte's character
-NONE = -1
+#: Characters each of which PRE_TOKEN takes in one run, apart from a word before them.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pairs of tokens whose test is kept.
 PAIRS = 200_000
 #: Characters of a short word, and how many prefixes of short words are kept.
@@ -56,113 +56,109 @@ class Bpe:
         self.strings = [""] * (max([*vocab.values(), *self.specials.values()]) + 1)
         for s, i in [*vocab.items(), *self.specials.items()]:
             self.strings[i] = s
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[int, int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        #: For each token the two that its merge joins and the merge's rank, -1 without one; by pair of tokens (left << 20 | right) the rank.
+        self.left, self.right, self.rank = ([-1] * len(self.strings) for _ in range(3))
+        self.merged: dict[int, int] = {}
         for r, (a, b) in enumerate(data["model"]["merges"]):
-            i = vocab[a + b]
-            self.merged[vocab[a], vocab[b]] = r
-            if i not in self.parts:
-                self.parts[i], self.rank[i] = (vocab[a], vocab[b]), r
-        self.words = {(s[: -len(WORD_END)] + MARK if s.endswith(WORD_END) else s): i for s, i in vocab.items()}
+            i, x, y = vocab[a + b], vocab[a], vocab[b]
+            self.merged[x << 20 | y] = r
+            if self.rank[i] < 0:
+                self.left[i], self.right[i], self.rank[i] = x, y, r
+        known: dict[int, bool] = {}
+        marked = ((s[: -len(WORD_END)] + MARK if s.endswith(WORD_END) else s, i) for s, i in vocab.items())
+        self.words = {s: i for s, i in marked if self._reachable(i, known)}  # others never occur in an encoding
+        self.ids = [i.to_bytes(4, "little") for i in range(len(self.strings))]
         self.fits: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
-        #: Reads a text backwards and recognises the tokens that are its suffixes: {character: next state, "": token}.
+        #: Reads a text backwards and recognises the tokens that are its suffixes: {character: next state, "": these tokens, the longest first, as
+        #: (token, characters)}.
         self.automaton: dict = {}
-        self.words = {s: i for s, i in self.words.items() if self.reachable(i)}  # others never occur in an encoding
-        for s, i in self.words.items():
-            state = self.automaton
+        for s, i in sorted(self.words.items(), key=lambda w: len(w[0])):
+            state, shorter = self.automaton, ()
             for c in reversed(s):
                 state = state.setdefault(c, {})
-            state[""] = i
-        self.length = {i: len(s) for s, i in self.words.items()}
+                shorter = state.get("", shorter)
+            state[""] = ((i, len(s)), *shorter)
         self.table = str.maketrans({b: c for b, c in enumerate(byte_characters())})
-        self.prefixes: dict[str, int] = {}
+        self.prefixes: dict[str, tuple[int, bytes] | None] = {}
         self.seen = Seen(self, {})
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of left's and right's text, joined, is left and right."""
         a, b, limit = left, right, len(self.merged)
-        rank = self.rank
+        merged, rank = self.merged, self.rank
         while True:
-            if self.merged.get((a, b), limit) < limit:
+            if merged.get(a << 20 | b, limit) < limit:
                 return False
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            ra, rb = rank[a], rank[b]
             if ra > rb:
-                limit, a = ra, self.parts[a][1]
+                limit, a = ra, self.right[a]
             elif rb >= 0:
-                limit, b = rb + 1, self.parts[b][0]  # of equal merges the left one comes first
+                limit, b = rb + 1, self.left[b]  # of equal merges the left one comes first
             else:
                 return True
 
-    def reachable(self, token: int) -> bool:
+    def _reachable(self, token: int, known: dict[int, bool]) -> bool:
         """Whether the encoding of the token's text is the token: its two parts, each reachable, must meet by the last merge of all."""
-        known = self.whole.get(token)
-        if known is None:
-            if token not in self.parts:
-                known = True
-            else:
-                a, b = self.parts[token]
-                known = self.reachable(a) and self.reachable(b) and self._only(a, b, self.rank[token])
-            self.whole[token] = known
-        return known
+        if token not in known:
+            a, b, last = self.left[token], self.right[token], self.rank[token]
+            known[token] = last < 0 or self._reachable(a, known) and self._reachable(b, known) and self._only(a, b, last)
+        return known[token]
 
     def _only(self, a: int, b: int, last: int) -> bool:
         """No merge crosses the border of a and b before their own, last, does."""
         limit = last + 1
-        if self.merged.get((a, b), limit) != last or max(self.rank.get(a, -1), self.rank.get(b, -1)) > last:
+        if self.merged.get(a << 20 | b, limit) != last or max(self.rank[a], self.rank[b]) > last:
             return False
         x, y = a, b
         while True:
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
+            rx, ry = self.rank[x], self.rank[y]
             if rx > ry:
-                limit, x = rx, self.parts[x][1]
+                limit, x = rx, self.right[x]
             elif ry >= 0:
-                limit, y = ry + 1, self.parts[y][0]
+                limit, y = ry + 1, self.left[y]
             else:
                 return True
-            if self.merged.get((x, y), limit) < limit:
+            if self.merged.get(x << 20 | y, limit) < limit:
                 return False
 
-    def word(self, pre_token: str) -> list[int]:
-        """Ids of one pre-token.
+    def word(self, pre_token: str) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit integers."""
+        s = (pre_token if pre_token.isascii() and pre_token.isprintable() else pre_token.encode("utf-8", "replace").decode("latin-1").translate(self.table)) + MARK
+        if (i := self.words.get(s)) is not None:  # a reachable token is the encoding of its own text
+            return self.ids[i]
+        if len(s) > SHORT:
+            return self._long(s)
+        if len(self.prefixes) > PREFIXES:
+            self.prefixes = {}
+        return self._encoding(s)[1]
 
-        last[end] is the token that ends the encoding of the prefix up to end. It is worked out only for prefixes that are asked for: first
+    def _long(self, s: str) -> bytes:
+        """last[end] is the token that ends the encoding of the prefix up to end. It is worked out only for prefixes that are asked for: first
         the whole word, then those that a candidate for its last token leaves; a stack holds the prefixes that wait for another's answer.
         """
-        s = (pre_token if pre_token.isascii() and pre_token.isprintable() else pre_token.encode("utf-8", "replace").decode("latin-1").translate(self.table)) + MARK
-        if (i := self.words.get(s)) is not None:  # a reachable token is the encoding of its own text
-            return [i]
-        if len(s) <= SHORT:
-            return self._short(s)
-        fits, automaton, length = self.fits, self.automaton, self.length
-        last: dict[int, int] = {}
+        fits = self.fits
+        last: dict[int, tuple[int, int] | None] = {}  # with its characters; None where only the word-end mark is left, which alone isn't a token
         stack: list[tuple[int, list[tuple[int, int]]]] = []
         end, left = len(s), None
         while True:
-            if left is None:  # the tokens that are suffixes of this prefix, the longest last
-                node, start, left = automaton, end, []
-                while start and (node := node.get(s[start - 1])) is not None:
-                    start -= 1
-                    if "" in node:
-                        left.append((node[""], start))
-            answer = NONE  # stays so where only the word-end mark is left, which alone isn't a token
+            if left is None:
+                left = list(reversed(self._suffixes(s, end)))
+            answer = None
             while left:
-                token, start = left[-1]
+                token, n = left[-1]
+                start = end - n
                 if start:
-                    before = last.get(start)
-                    if before is None:
+                    if start not in last:
                         break
                     left.pop()
-                    if before == NONE:
+                    before = last[start]
+                    if before is None:
                         continue
-                    pair = before << 20 | token
+                    pair = before[0] << 20 | token
                     ok = fits.get(pair)
-                    if ok is None:
-                        ok = self._fit(pair, before, token)
-                    if not ok:
+                    if not (self._fit(pair, before[0], token) if ok is None else ok):
                         continue
-                answer, left = token, None
+                answer, left = (token, n), None
                 break
             if left:  # waits for the prefix before left[-1]
                 stack.append((end, left))
@@ -174,50 +170,45 @@ class Bpe:
             end, left = stack.pop()
         ids, at = [], len(s)
         while at:
-            ids.append(token := last[at])
-            at -= length[token]
+            token, n = last[at]
+            ids.append(self.ids[token])
+            at -= n
         ids.reverse()
-        return ids
-
-    def _short(self, s: str) -> list[int]:
-        """word() for short words: what holds for a prefix holds in every word that begins so, and is kept over words."""
-        if len(self.prefixes) > PREFIXES:
-            self.prefixes = {}
-        end = self._ending(s)
-        ids = [end]
-        at = len(s) - self.length[end]
-        known, length = self.prefixes, self.length
-        while at:
-            p = s[:at]
-            token = known.get(p)
-            ids.append(token := self._ending(p) if token is None else token)
-            at -= length[token]
-        ids.reverse()
-        return ids
-
-    def _ending(self, p: str) -> int:
-        """The last token of the encoding of p, the beginning of a short word."""
-        node, start, found = self.automaton, len(p), []
-        while start and (node := node.get(p[start - 1])) is not None:
-            start -= 1
-            if "" in node:
-                found.append((node[""], start))
-        answer, known, fits = NONE, self.prefixes, self.fits
-        while found:
-            token, start = found.pop()
-            if start:
-                q = p[:start]
-                before = known.get(q)
-                if before is None:
-                    before = self._ending(q)
-                if before == NONE:
-                    continue
-                pair = before << 20 | token
-                ok = fits.get(pair)
-                if not (self._fit(pair, before, token) if ok is None else ok):
-                    continue
-            answer = token
-            break
+        return b"".join(ids)
+
+    def _suffixes(self, s: str, end: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that are suffixes of the prefix up to end, the longest first."""
+        node, found = self.automaton, ()
+        while end and (node := node.get(s[end - 1])) is not None:
+            end -= 1
+            found = node.get("", found)
+        return found
+
+    def _encoding(self, p: str) -> tuple[int, bytes] | None:
+        """The last token and the ids of a short word's beginning, or of the word. What holds for a prefix holds in every word that begins so, and is
+        kept over words."""
+        node, found = self.automaton, ()
+        for c in reversed(p):
+            node = node.get(c)
+            if node is None:
+                break
+            found = node.get("", found)
+        answer, known, fits = None, self.prefixes, self.fits
+        for token, n in found:
+            if n == len(p):
+                answer = token, self.ids[token]
+                break
+            q = p[:-n]
+            before = known.get(q, False)
+            if before is False:
+                before = self._encoding(q)
+            if before is None:
+                continue
+            pair = before[0] << 20 | token
+            ok = fits.get(pair)
+            if self._fit(pair, before[0], token) if ok is None else ok:
+                answer = token, before[1] + self.ids[token]
+                break
         if p[-1] != MARK:
             known[p] = answer
         return answer
@@ -230,10 +221,12 @@ class Bpe:
 
     def chunk(self, s: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a piece of normalised text without white space or special tokens."""
-        out = array("I")
-        for pre_token in [s] if s.isalpha() else PRE_TOKEN.findall(s):
-            out.extend(self.word(pre_token))
-        return out.tobytes()
+        if s.isalpha():
+            return self.word(s)
+        stem = s.rstrip(PUNCTUATION)
+        if len(stem) < len(s) and stem.isalpha():  # a word and a run of punctuation, the most frequent by far
+            return self.seen[stem] + self.seen[s[len(stem) :]]
+        return b"".join(map(self.word, PRE_TOKEN.findall(s)))
 
     def pieces(self, text: str) -> list[bytes]:
         """The ids of each stretch of text between white space, in order."""

@@ -52,6 +52,16 @@ def test_bpe_is_exact(spark, library):
     assert null[0]["again"] == ""
 
 
+def test_bpe_encodes_a_word_before_punctuation_once(library):
+    encoder, words = bpe.Bpe(PATH), []
+    word = encoder.word
+    encoder.word = lambda s: words.append(s) or word(s)
+    text = "thouonin, thouonin. thouonin... éliànou?! thouonin!\"'$ éliànou 'éliànou' thouonin_ 7, don't, élià́nou, ¿éliànou¡ -, thouonin's."
+    ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert words.count("thouonin") == 2 and words.count("éliànou") == 3  # again where something else is joined to them
+
+
 def plain_groups(rows, words, percent):
     sets = {}
     for i, t in rows:
