@@ -18,24 +18,24 @@ from pixelloom.llm.queries import table, tokenizer_path
 
 
 def _judged(docs: DataFrame, judge, *names: str) -> DataFrame:
-    """The rows of docs, all columns, that a classifier doesn't reject. It gets a copy of the text, as it takes the text away; its columns have
-    names that docs hasn't, so columns of documents are never replaced."""
-    copy, *own = (free_name(docs.columns, n) for n in ("text_read", *names))
-    return judge(docs.withColumn(copy, F.col("text")), copy, tuple(own)).where(~F.col(own[-1])).select(*docs.columns)
+    """The rows of docs, all columns, that a classifier doesn't reject. Its columns have names that docs hasn't, so columns of documents are never
+    replaced; the text stays, and is read from the column that stays, as a copy would double the batches."""
+    own = tuple(free_name(docs.columns, n) for n in names)
+    return judge(docs, own).where(~F.col(own[-1])).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learnt from the lang of a bounded sample of the stage's input. If no row has text and lang, nothing
     can be learnt and all rows stay."""
     model = language_id.train(docs)
-    return _judged(docs, lambda df, text, names: language_id.identify(df, model, text, names), "lang_pred", "lang_score", "rejected") if model.languages else docs
+    return _judged(docs, lambda df, names: language_id.identify(df, model, "text", names, stays=True), "lang_pred", "lang_score", "rejected") if model.languages else docs
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score isn't below the threshold; learnt from all documents that labels covers. If no label or only labels of one
     kind cover documents, all rows stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return _judged(docs, lambda df, text, names: quality.score(df, model, text, names), "quality_score", "rejected") if model.weights.any() else docs
+    return _judged(docs, lambda df, names: quality.score(df, model, "text", names, stays=True), "quality_score", "rejected") if model.weights.any() else docs
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,6 +116,14 @@ def others(df: DataFrame, names: list[str | None]) -> list[str]:
     return [c for c in df.columns if c.lower() not in less]
 
 
+def carried(df: DataFrame, column: str, added: list[str], stays: bool) -> tuple[DataFrame, list[str], int]:
+    """What a classifier's map reads of df: the columns that it returns, those but for added, and column once, among them if it stays, else after them.
+    Also the names of those returned, and column's place. Spark's batches hold each column whole in the JVM and in Python, so texts go once."""
+    keep = others(df, added if stays else [column, *added])
+    at = [c.lower() for c in keep].index(column.lower()) if stays else len(keep)
+    return df.select(*keep) if stays else df.select(*keep, column), keep, at
+
+
 def lower_ascii(c):
     """c with A-Z lower-cased and nothing else: lower() where all is ASCII, which is quicker, else translate()."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import others, slices, turn_to
+from pixelloom.llm.common import carried, slices, turn_to
 
 #: Rows of the embedding table, its width, and the subword lengths in characters (a word's border counts as one).
 BUCKETS, WIDTH, LENGTHS = 1 << 16, 16, (2, 3, 4)
@@ -194,14 +194,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "rejected")) -> DataFrame:
-    """df without its column text, plus lang_pred (string), lang_score (double, 0 to 1) and rejected (boolean), or as names calls them.
+def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "rejected"), stays: bool = False) -> DataFrame:
+    """df without its column text (with it, if it stays), plus lang_pred (string), lang_score (double, 0 to 1) and rejected (boolean), or as names calls them.
 
     Null texts and texts without a letter: und, 0, rejected. So are all texts if the model has no language. Ties go to the language first in order.
     Columns of these names, in any case, are replaced; repeated rows and empty tables need no care; whole texts are read, in stretches.
     Nothing is shuffled; the model goes along with the tasks.
     """
-    keep = others(df, [text, *names])
+    read, keep, at = carried(df, text, list(names), stays)
     schema = df.select(*keep).schema
     for name, kind in zip(names, ("string", "double", "boolean")):
         schema = schema.add(name, kind)
@@ -209,10 +209,10 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("language_id")
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts = batch.column(at)
             for a, b in slices(texts, BATCH_BYTES):
                 pred, score, rejected = model.predict(texts.slice(a, b - a).to_pylist())
                 columns = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + columns, names=[*keep, *names])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)

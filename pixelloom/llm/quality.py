@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelloom.llm.common import others, scratch, slices, store, turn_to
+from pixelloom.llm.common import carried, scratch, slices, store, turn_to
 
 #: Evaluations of the loss at most (Newton steps and their halvings); L2; fall of the loss that ends the steps; bins of scores in 1.
 STEPS, RIDGE, FALL, BINS = 60, 1e-3, 1e-9, 64
@@ -298,8 +298,8 @@ def _texts(rows: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         yield a, b, np.array([features(t) for t in rows.slice(a, b - a).to_pylist()], float)
 
 
-def _mapped(df: DataFrame, column: str, added: dict[str, T.DataType], of, read=_texts) -> DataFrame:
-    keep = others(df, [column, *added])
+def _mapped(df: DataFrame, column: str, added: dict[str, T.DataType], of, read=_texts, stays: bool = False) -> DataFrame:
+    rows, keep, at = carried(df, column, list(added), stays)
     schema = df.select(*keep).schema
     for name, kind in added.items():
         schema = schema.add(name, kind)
@@ -307,10 +307,10 @@ def _mapped(df: DataFrame, column: str, added: dict[str, T.DataType], of, read=_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("quality")
         for batch in batches:
-            for a, b, x in read(batch.column(len(keep))):
+            for a, b, x in read(batch.column(at)):
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + of(x), names=[*keep, *added])
 
-    return df.select(*keep, column).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def describe(df: DataFrame, text: str = "text") -> DataFrame:
@@ -318,13 +318,13 @@ def describe(df: DataFrame, text: str = "text") -> DataFrame:
     return _mapped(df, text, {"features": T.ArrayType(T.DoubleType())}, lambda x: [pa.array(list(x), pa.list_(pa.float64()))])
 
 
-def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("quality_score", "rejected")) -> DataFrame:
-    """df without its column text, plus quality_score (double, 0 to 1) and rejected (boolean: score below CUT), or as names calls them.
+def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("quality_score", "rejected"), stays: bool = False) -> DataFrame:
+    """df without its column text (with it, if it stays), plus quality_score (double, 0 to 1) and rejected (boolean: score below CUT), or as names calls them.
 
     Null and empty texts have all features 0 and are scored so. Columns of these names, in any case, are replaced; repeated rows and empty tables need no
     care; whole texts are read. Nothing is shuffled; the model, a few hundred numbers, goes along with the tasks.
     """
-    return _judged(df, model, text, names, _texts)
+    return _judged(df, model, text, names, _texts, stays)
 
 
 def score_described(df: DataFrame, model: Model, names: tuple[str, str] = ("quality_score", "rejected")) -> DataFrame:
@@ -332,9 +332,9 @@ def score_described(df: DataFrame, model: Model, names: tuple[str, str] = ("qual
     return _judged(df, model, "features", names, _described)
 
 
-def _judged(df: DataFrame, model: Model, column: str, names: tuple[str, str], read) -> DataFrame:
+def _judged(df: DataFrame, model: Model, column: str, names: tuple[str, str], read, stays: bool = False) -> DataFrame:
     def of(x: np.ndarray) -> list[pa.Array]:
         s = model.score(x)
         return [pa.array(s, pa.float64()), pa.array(s < CUT, pa.bool_())]
 
-    return _mapped(df, column, {names[0]: T.DoubleType(), names[1]: T.BooleanType()}, of, read)
+    return _mapped(df, column, {names[0]: T.DoubleType(), names[1]: T.BooleanType()}, of, read, stays)

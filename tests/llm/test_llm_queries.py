@@ -128,6 +128,21 @@ def test_pipeline_against_plain(spark, tmp_path):
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_hands_texts_to_the_classifiers_once(spark, tmp_path):
+    rows = [(i, "Lang" if i % 2 else "en", ("the cat and the dog %d " if i % 2 else "der Hund und die Katze %d ") * 5 % ((i,) * 5), "own") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, Text string, rejected string")
+    spark.createDataFrame([(i, i % 3 % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.language, corpus_pipeline.good_quality):
+        out = stage(spark, docs, str(tmp_path))
+        node = out._jdf.queryExecution().analyzed()
+        while node.nodeName() != "MapInArrow":
+            node = node.children().apply(0)
+        read = node.children().apply(0).output()
+        assert [read.apply(k).name() for k in range(read.size())] == docs.columns
+        got = out.collect()
+        assert out.columns == docs.columns and got and {tuple(r) for r in got} <= set(rows)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     sf = tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, sf).count() == 0
