@@ -79,10 +79,10 @@ class Decompress:
 
 @udtf(returnType="fits: boolean")
 class ByteRunFits:
-    """One row: whether a ByteRun1 stream has n rows of size bytes, each ending with a command."""
+    """One row: whether a ByteRun1 stream has n rows of size bytes, each ending with a command, and no more."""
 
     def eval(self, content: bytes, size: int, n: int) -> Iterator[tuple]:
-        yield (rle.byterun1_fits(bytes(content or b""), size, n),)
+        yield (rle.byterun1_fits(bytes(content or b""), size, n, whole=True),)
 
 
 def decompress(streams: DataFrame, scheme: str, content: str = "content", size: str = "size") -> DataFrame:
