@@ -93,15 +93,15 @@ def _row(codec: str | None, content: bytes | None, options: Options, registry: R
     return row
 
 
-def decode(files: DataFrame, codec: str | None = None, options: Options = Options(), content: str = "content", registry: Registry | None = None) -> DataFrame:
+def decode(files: DataFrame, codec: str | None = None, options: Options = Options(), content: str = "content", registry: Registry | None = None, first: str | None = None) -> DataFrame:
     """files without their content, plus the columns of a surface (model.SURFACE).
 
-    codec: a codec's name for all rows, or None to detect it for each. Detection is native and cheap; only decoding runs in Python, an input
+    codec: a codec's name for all rows, or None to detect it for each; first: the codec that detection tries before the others. Detection is native and cheap; only decoding runs in Python, an input
     at a time, in Arrow batches. Nothing is shuffled.
     """
     registry = registry or REGISTRY
     keep = [c for c in files.columns if c != content and c not in SURFACE.names]
-    typed = files.withColumn("__codec", F.lit(codec) if codec is not None else detect(content))
+    typed = files.withColumn("__codec", F.lit(codec) if codec is not None else detect(content, first=first))
     schema = files.select(*keep).schema
     for f in SURFACE.fields:
         schema = schema.add(f)

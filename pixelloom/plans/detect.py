@@ -83,10 +83,11 @@ def predicates(content: C = "content", length: C | None = None) -> dict[str, Col
     }
 
 
-def detect(content: C = "content", length: C | None = None) -> Column:
-    """The codec's name; null if none fits."""
+def detect(content: C = "content", length: C | None = None, first: str | None = None) -> Column:
+    """The codec's name; null if none fits. first: a codec that is tried before the others, as where an extension says it: files of formats
+    without a mark can begin with another format's by chance."""
     out, tests = None, predicates(content, length)
-    for name, _ in CODECS:
+    for name in sorted((n for n, _ in CODECS), key=lambda n: n != first):
         test = F.coalesce(tests[name], F.lit(False))
         out = F.when(test, name) if out is None else out.when(test, name)
     return out
