@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,19 @@ def merge_planes(bits: DataFrame, keys: list[str], plane: str = "plane", value:
     return bits.groupBy(*keys).agg(F.bit_or(shl(F.col(value), F.col(plane))).alias("idx"))
 
 
+def merge_plane_words(words: DataFrame, keys: list[str], width: int, height: int, line: str = "y", plane: str = "plane", word: str = "word") -> DataFrame:
+    """The same (keys, y, x, idx) for lines of planes that come as words of width bits, a row for each plane and line; planes * width is 64 at most.
+
+    An image's words, not its pixels, are shuffled: a row for each image, of a number for each line with all of its planes.
+    """
+    placed = shl(F.col(word).cast("long"), F.col(plane) * width)
+    lines = words.groupBy(*keys).agg(F.array(*[F.bit_or(F.when(F.col(line) == y, placed)) for y in range(height)]).alias("lines"))
+    rows = lines.select(*keys, F.posexplode("lines").alias("y", "v")).where("v IS NOT NULL")
+    pixels = rows.select(*keys, "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "v")
+    bits = [shl(shr("v", F.lit(width * p + width - 1) - F.col("x")).bitwiseAND(1).cast("int"), p) for p in range(64 // width)]
+    return pixels.select(*keys, "y", "x", reduce(Column.__add__, bits).alias("idx"))
+
+
 def apply_palette(pixels: DataFrame, palette: DataFrame, on: list[str] | None = None) -> DataFrame:
     """pixels with r, g, b of palette (idx, r, g, b; with the columns on, if each image has its own); a missing colour is black.
 
@@ -89,6 +104,16 @@ def interleave(samples: DataFrame, keys: list[str], channel: str = "channel", va
     return out.withColumns({"g": F.coalesce("g", "r"), "b": F.coalesce("b", "r")})
 
 
+def interleave_words(words: DataFrame, keys: list[str], parts: int, channel: str = "channel", part: str = "part", word: str = "word") -> DataFrame:
+    """The same (keys, x, r, g, b) for samples that come eight to a word of 64 bits, the first in its highest bits; parts words make a channel's line.
+    Words, not samples, are shuffled, a row for each line."""
+    own = lambda i, k: F.max(F.when((F.col(channel) == i) & (F.col(part) == k), F.col(word)))
+    lines = words.groupBy(*keys).agg(F.array(*[F.struct(*[own(i, k).alias(n) for i, n in enumerate("rgb")]) for k in range(parts)]).alias("parts"))
+    rows = lines.select(*keys, F.posexplode("parts").alias("part", "w")).where("w.r IS NOT NULL OR w.g IS NOT NULL OR w.b IS NOT NULL")
+    rows = rows.select(*keys, "part", "w.r", F.coalesce("w.g", "w.r").alias("g"), F.coalesce("w.b", "w.r").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    return rows.select(*keys, (F.col("part") * 8 + F.col("i")).alias("x"), *[shr(n, F.lit(56) - F.col("i") * 8).bitwiseAND(255).cast("int").alias(n) for n in "rgb"])
+
+
 def is_ste(words: DataFrame, keys: list[str], word: str = "word") -> DataFrame:
     """Whether any colour of a palette uses a fourth bit."""
     return words.groupBy(*keys).agg(F.bool_or(F.col(word).bitwiseAND(0x0888) != 0).alias("ste"))
