@@ -1,4 +1,5 @@
-"""Run-length encoders as Column expressions, binary to binary, in the codes that operators/rle.py reads. Runs are found by one regular expression."""
+"""Run-length encoders as Column expressions, binary to binary, in the codes that operators/rle.py reads. Those of bulk.py work on a batch at once; the
+others are native, and find runs by one regular expression."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import C, col
+from pixelloom.operators import bulk
 
 
 def hexed(n: Column, digits: int = 2) -> Column:
@@ -53,17 +55,16 @@ def coded(found: Column, run: Callable[[Column, Column], Column], literal: Calla
 
 
 def pcx(content: C) -> Column:
-    found = tokens(latin(content), 63, 1)
-    return joined(coded(found, lambda n, v: F.concat(hexed(n + 192), v), lambda n, v: F.when(v >= "C0", F.concat(F.lit("C1"), v)).otherwise(v)))
+    return bulk.column(col(content), bulk.pcx)
 
 
 def packbits(content: C) -> Column:
     """ByteRun1 too."""
-    return joined(coded(tokens(latin(content), 128), lambda n, v: F.concat(hexed(257 - n), v), lambda n, v: F.concat(hexed(n - 1), v)))
+    return bulk.column(col(content), bulk.packbits)
 
 
 def spc(content: C) -> Column:
-    return joined(coded(tokens(latin(content), 130, 128, 3), lambda n, v: F.concat(hexed(258 - n), v), lambda n, v: F.concat(hexed(n - 1), v), 3))
+    return bulk.column(col(content), bulk.spc)
 
 
 def bmp8(content: C) -> Column:
@@ -93,15 +94,7 @@ def sun(content: C) -> Column:
 
 def pictor(content: C, block: int = 8192, marker: str = "65") -> Column:
     """The number of blocks, then the blocks, each with its size, length and marker."""
-
-    def one(k: Column) -> Column:
-        part = F.substring(col(content), k * block + 1, F.lit(block))
-        run = lambda n, v: F.concat(F.lit(marker), F.when(n < 256, hexed(n)).otherwise(F.concat(F.lit("00"), little(n, 2))), v)
-        data = F.array_join(coded(tokens(latin(part), 1000, 1, 3), run, lambda n, v: F.when(v == marker, F.concat(F.lit(marker + "01"), v)).otherwise(v), 3), "")
-        return once(data, lambda x: F.concat(little(F.length(x) / 2 + 5, 2), little(F.octet_length(part), 2), F.lit(marker), x))
-
-    blocks = F.ceil(F.octet_length(col(content)) / block).cast("int")
-    return F.concat(F.unhex(little(blocks, 2)), joined(F.transform(F.sequence(F.lit(0), blocks - 1), one)))
+    return bulk.column(col(content), lambda units, at: bulk.pictor(units, at, block, int(marker, 16)))
 
 
 def little(n: Column, size: int) -> Column:
@@ -126,53 +119,26 @@ def msp(content: C) -> Column:
 
 def escaped(content: C, escape: str, count_first: bool) -> Column:
     """Codes of 8-bit machines; runs of four or more, and the escape itself."""
-    code = (lambda n, v: F.concat(F.lit(escape), n, v)) if count_first else (lambda n, v: F.concat(F.lit(escape), v, n))
-    found = tokens(latin(content), 255, 1, 4)
-    return joined(coded(found, lambda n, v: code(hexed(n), v), lambda n, v: F.when(v == escape, code(F.lit("01"), v)).otherwise(v), 4))
+    return bulk.column(col(content), lambda units, at: bulk.escaped(units, at, int(escape, 16), count_first))
 
 
 def crack_art(content: C, size: int = 32000, step: int = 160, escape: str = "65", default: str = "00") -> Column:
     """The escape, the default, the step and the codes of the bytes, taken step by step. All five codes of runs are used."""
-    place = lambda k: (k % (size // step)) * step + F.floor(k / (size // step)).cast("int") + 1
-    columns = once(col(content), lambda c: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.hex(F.substring(c, place(k), F.lit(1)))))
-
-    def run(n: Column, v: Column) -> Column:
-        e = F.lit(escape)
-        short = F.when(n <= 20, F.concat(e, hexed(n - 1), v)).otherwise(F.concat(e, F.lit("00"), hexed(n - 1), v))
-        plain = F.when(n <= 256, short).otherwise(F.concat(e, F.lit("01"), hexed(n - 1, 4), v))
-        return F.when((v == default) & (n > 256), F.concat(e, F.lit("02"), hexed(n - 1, 4))).otherwise(plain)
-
-    found = tokens(latin(joined(columns)), 2000, 1, 4)
-    data = coded(found, run, lambda n, v: F.when(v == escape, F.concat(v, v)).otherwise(v), 4)
-    return F.concat(F.unhex(F.lit(f"{escape}{default}{step:04x}")), joined(data))
-
-
-def two_streams(found: Column, unit: int) -> tuple[Column, Column]:
-    """Hex of the control and of the value stream of tokens of up to 1000 units."""
-    control = coded(found, lambda n, v: F.when(n < 128, hexed(n)).otherwise(F.concat(F.lit("00"), hexed(n, 4))), lambda n, v: F.when(n <= 128, hexed(256 - n)).otherwise(F.concat(F.lit("01"), hexed(n, 4))), unit=unit)
-    values = coded(found, lambda n, v: v, lambda n, v: v, unit=unit)
-    return control, values
+    return bulk.column(col(content), lambda units, at: bulk.crack_art(units, at, size, step, int(escape, 16), int(default, 16)))
 
 
 def tiny(content: C) -> Column:
     """Number of control bytes and of value words, then both streams, of a 32000-byte screen."""
-    place = lambda k: (k % 200) * 160 + (F.floor(k / 200).cast("int") % 20) * 8 + F.floor(k / 4000).cast("int") * 2 + 1
-    words = joined(once(col(content), lambda c: F.transform(F.sequence(F.lit(0), F.lit(15999)), lambda k: F.hex(F.substring(c, place(k), F.lit(2))))))
-    both = once(tokens(latin(words), 1000, 200, unit=2), lambda found: F.struct(*[F.array_join(x, "") for x in two_streams(found, 2)]))
-    return once(both, lambda x: F.unhex(F.concat(hexed(F.length(x["col1"]) / 2, 4), hexed(F.length(x["col2"]) / 4, 4), x["col1"], x["col2"])))
+    return bulk.column(col(content), bulk.tiny)
 
 
 def photochrome(parts: list[tuple[Column, int]]) -> Column:
     """Blocks of (bytes, unit): the number of commands, then these with their values between them."""
-    out = []
-    for content, unit in parts:
-        run = lambda n, v: F.concat(F.when(n < 128, hexed(n)).otherwise(F.concat(F.lit("00"), hexed(n, 4))), v)
-        literal = lambda n, v: F.concat(F.when(n <= 128, hexed(256 - n)).otherwise(F.concat(F.lit("01"), hexed(n, 4))), v)
-        found = coded(tokens(latin(content), 1000, 200, unit=unit), run, literal, unit=unit)
-        out.append(once(found, lambda commands: F.unhex(F.concat(hexed(F.size(commands), 4), F.array_join(commands, "")))))
-    return F.concat(*out)
+    return F.concat(*[bulk.column(content, lambda units, at, unit=unit: bulk.photochrome(units, at, unit)) for content, unit in parts])
 
 
-def rows(content: C, size: int, n: int, f: Callable[[Column], Column]) -> Column:
-    """The first n rows of size bytes, each encoded by f."""
+def rows(content: C, size: int, n: int | None, f: Callable[[Column], Column]) -> Column:
+    """The first n rows of size bytes, each encoded by f: a batch at once where bulk.py has the encoder, which takes None for all rows too."""
+    if f in (pcx, packbits, spc):
+        return bulk.column(col(content), bulk.in_rows(getattr(bulk, f.__name__), size, n))
     return joined(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda y: F.hex(f(F.substring(col(content), y * size + 1, F.lit(size))))))

@@ -1,4 +1,4 @@
-"""Round trips through the decompressors: documents' bytes are encoded by native expressions and decoded again; SQL states the bytes themselves."""
+"""Round trips through the decompressors: documents' bytes are encoded and decoded again; SQL states the bytes themselves."""
 
 from __future__ import annotations
 
@@ -79,8 +79,7 @@ def byterun1_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = 64
     count = F.expr(f"cast((octet_length(content) + {n - 1}) div {n} as int)")
     padded = _whole(spark, sf_dir).where("octet_length(content) > 0").withColumn("rows", count).withColumn("content", F.rpad("content", F.col("rows") * n, F.unhex(F.lit("00"))))
-    packed = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda y: F.hex(e.packbits(F.substring(F.col("content"), y * n + 1, F.lit(n)))))
-    padded.select("doc_id", "rows", e.joined(packed).alias("d")).createOrReplaceTempView("framed_streams")
+    padded.select("doc_id", "rows", e.rows("content", n, None, e.packbits).alias("d")).createOrReplaceTempView("framed_streams")
     return spark.sql(f"""SELECT doc_id, `rows`, a.fits, b.fits AS fits_cut, c.fits AS fits_shorter, e.fits AS fits_longer FROM framed_streams,
         LATERAL byterun1_fits(d, {n}, `rows`) a, LATERAL byterun1_fits(substring(d, 1, octet_length(d) - 1), {n}, `rows`) b,
         LATERAL byterun1_fits(d, {n - 1}, `rows`) c, LATERAL byterun1_fits(d, {n + 1}, `rows`) e""")
